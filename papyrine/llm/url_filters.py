@@ -67,8 +67,9 @@ def _margins(weights: np.ndarray, intercept: float, hosts: list[str], paths: lis
     return intercept + np.bincount(row, weights[index], len(hosts)) / np.sqrt(size)
 
 
-def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", steps: int = 300, rate: float = 2.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, intercept) from a table of URLs and 0/1 labels; rows with a null are left out."""
+def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", steps: int = 600, rate: float = 8.0, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """(weights, intercept) from a table of URLs and 0/1 labels; rows with a null are left out
+    and both classes weigh the same."""
     host, path = host_and_path(F.col(url))
     rows = labelled.select(host.alias("host"), path.alias("path"), F.col(label).cast("double").alias("y")).dropna()
     sample = rows.orderBy("host", "path", "y").limit(MAX_LABELLED + 1).toPandas()
@@ -79,8 +80,9 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", steps: in
         return weights, -1.0
     index, row, size = _sparse(sample["host"].tolist(), sample["path"].tolist())
     scale, y = 1 / np.sqrt(size), sample["y"].to_numpy()
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for _ in range(steps):
-        error = (1 / (1 + np.exp(-(intercept + np.bincount(row, weights[index], len(y)) * scale))) - y) / len(y)
+        error = (1 / (1 + np.exp(-(intercept + np.bincount(row, weights[index], len(y)) * scale))) - y) * weight
         weights -= rate * (np.bincount(index, (error * scale)[row], len(weights)) + l2 * weights)
         intercept = min(0.0, intercept - rate * error.sum())
     return weights, intercept
