@@ -185,7 +185,7 @@ def fit(df: DataFrame, group: str, text: str, kind: str, modified: bool) -> Mode
     context_slots = grams.groupBy("grp", "k", context.alias("slot")).agg(
         F.sum("c").alias("total"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2"), F.count_if(c > 2).alias("n3")
     )
-    rows = gram_slots.withColumn("kind", F.lit(0)).unionByName(context_slots.withColumn("kind", F.lit(1))).toPandas()
+    rows = gram_slots.withColumn("kind", F.lit(0)).unionByName(context_slots.withColumn("kind", F.lit(1))).toArrow().to_pandas()
     discounts = {(r["grp"], r["k"]): _discounts([r[f"n{i}"] for i in range(1, 5)], modified) for r in shapes}
     tables = {}
     for (grp, k), part in rows.groupby(["grp", "k"]):

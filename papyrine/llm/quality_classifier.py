@@ -194,7 +194,7 @@ def fit(features: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     """The model of the labelled rows of ``features``; rows with a null label are left out."""
     labelled = features.join(labels.select(key, F.col(label).cast("double").alias("_y")).dropna(), key)
     # a hash order is no order of content; equal keys follow by label and features
-    sample = labelled.orderBy(F.xxhash64(key), key, "_y").limit(MAX_LABELLED).select("features", "_y").toPandas()
+    sample = labelled.orderBy(F.xxhash64(key), key, "_y").limit(MAX_LABELLED).select("features", "_y").toArrow().to_pandas()
     matrix = np.stack(sample["features"].to_numpy()).astype(np.float64) if len(sample) else np.zeros((0, len(FEATURES)))
     return fit_additive(matrix, sample["_y"].to_numpy())
 

@@ -134,6 +134,6 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that the rules keep, unchanged."""
-    good = judge(docs, key, text, lang).filter("kept").select(key)
-    return docs.join(good, key, "left_semi").select(*docs.columns)
+    """``docs`` without the documents that the rules reject; rows with a null key stay."""
+    bad = written(judge(docs, key, text, lang).filter(~F.col("kept")).select(key), "rejected")
+    return docs.join(bad, key, "left_anti").select(*docs.columns)

@@ -7,10 +7,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import language_id, quality_classifier, quality_rules, token_counts, url_filters
+from papyrine.llm import decontamination, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
 from papyrine.workspace import shared_folder
 
 CONTEXT_TOKENS = 1024
+#: Shares of the mixture's tokens by domain.
+DOMAIN_TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -31,6 +33,18 @@ def key_remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_to_targets(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), DOMAIN_TARGETS)
+    shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(DOMAIN_TARGETS)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,16 +84,57 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_sentences", "n_removed", "first_docs", F.md5("text").alias("text_md5"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", key_remainder(4) == 2)
     return language_id.identify(docs, "held_out").select("doc_id", "held_out", "lang_pred", "score", "accepted", "cross_entropy")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": """
+WITH l AS (
+  SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
+counts AS (SELECT source, k, count(*) AS pages FROM (SELECT DISTINCT doc_id, source, k FROM k WHERE k <> '') GROUP BY source, k),
+totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+boilerplate AS (
+  SELECT c.source, c.k FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+  WHERE c.pages >= 5 AND c.pages > 0.1 * t.host_pages
+), judged AS (
+  SELECT k.*, b.k IS NOT NULL AS gone FROM k LEFT JOIN boilerplate b ON k.source IS NOT DISTINCT FROM b.source AND k.k = b.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_md5
+FROM judged GROUP BY doc_id
+""",
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -72,7 +72,7 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", steps: in
     and both classes weigh the same."""
     host, path = host_and_path(F.col(url))
     rows = labelled.select(host.alias("host"), path.alias("path"), F.col(label).cast("double").alias("y")).dropna()
-    sample = rows.orderBy("host", "path", "y").limit(MAX_LABELLED + 1).toPandas()
+    sample = rows.orderBy("host", "path", "y").limit(MAX_LABELLED + 1).toArrow().to_pandas()
     if len(sample) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs; sample them first")
     weights, intercept = np.zeros(1 << BITS), 0.0
