@@ -47,18 +47,19 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO) -> DataFrame:
     """``pages`` with boilerplate lines cut out of ``text``, and the columns ``n_lines`` and
-    ``n_dropped`` (null for a null text)."""
+    ``n_dropped`` (null for a null text), which take the place of columns so named."""
     found = written(boilerplate(pages, host, text, ratio), "boilerplate")
     small = found.count() <= BROADCAST_LINES
-    of_host = found.groupBy("host").agg(F.collect_set("line").alias("_lines")).withColumnRenamed("host", "_host")
-    joined = pages.join(F.broadcast(of_host) if small else of_host, F.col(host).eqNullSafe(F.col("_host")), "left")
-    lines = F.split(F.col(text), "\n")
+    of_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_lines"))
+    own = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    rows = pages.select(F.struct(*own).alias("_row"))  # the table's names cannot clash with those used here
+    joined = rows.join(F.broadcast(of_host) if small else of_host, F.col("_row")[host].eqNullSafe(F.col("_host")), "left")
+    lines = F.split(F.col("_row")[text], "\n")
     kept = F.filter(lines, lambda x: _is_blank(x) | ~F.array_contains(F.col("_lines"), _line_key(x)))
-    kept = F.when(F.col("_lines").isNull(), lines).otherwise(kept)
-    cut = joined.withColumns({"_all": F.size(lines), "_kept": kept})
-    n_dropped = F.when(F.col(text).isNotNull(), F.col("_all") - F.size("_kept"))
+    cut = joined.withColumns({"_all": F.size(lines), "_kept": F.when(F.col("_lines").isNull(), lines).otherwise(kept)})
+    has_text = F.col("_row")[text].isNotNull()
     return cut.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in pages.columns],
-        F.when(F.col(text).isNotNull(), F.col("_all")).cast("long").alias("n_lines"),
-        n_dropped.cast("long").alias("n_dropped"),
+        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row")[c].alias(c) for c in own],
+        F.when(has_text, F.col("_all")).cast("long").alias("n_lines"),
+        F.when(has_text, F.col("_all") - F.size("_kept")).cast("long").alias("n_dropped"),
     )

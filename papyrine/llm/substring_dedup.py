@@ -108,8 +108,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated sentences cut out of ``text``, and the columns ``n_sentences``,
-    ``n_removed`` and ``first_docs`` (empty where nothing was removed)."""
-    spans = written(repeated_spans(docs, key, text), "repeated-spans").withColumnRenamed(key, "_key")
+    ``n_removed`` and ``first_docs`` (empty where nothing was removed), which take the place
+    of columns so named."""
+    spans = written(repeated_spans(docs, key, text), "repeated-spans").toDF("_key", "_starts", "_first")
 
     def cut(starts: pd.Series, texts: pd.Series) -> pd.DataFrame:
         out = []
@@ -128,9 +129,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
 
     cut_udf = F.pandas_udf(cut, "text string, n_sentences long, n_removed long")
-    joined = docs.join(spans, F.col(key) == F.col("_key"), "left").withColumn("_cut", cut_udf("starts", text))
+    own = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "first_docs")]
+    rows = docs.select(F.struct(*own).alias("_row"))  # the table's names cannot clash with those used here
+    joined = rows.join(spans, F.col("_row")[key] == F.col("_key"), "left").withColumn("_cut", cut_udf("_starts", F.col("_row")[text]))
     empty = F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")
     return joined.select(
-        *[F.col("_cut.text").alias(c) if c == text else F.col(c) for c in docs.columns],
-        "_cut.n_sentences", "_cut.n_removed", F.coalesce("first_docs", empty).alias("first_docs"),
+        *[F.col("_cut.text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in own],
+        "_cut.n_sentences", "_cut.n_removed", F.coalesce("_first", empty).alias("first_docs"),
     )
