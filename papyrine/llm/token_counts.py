@@ -72,7 +72,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
             except KeyError:
                 if len(known) > PIECES:
                     known.clear()
-                new = list(set(pieces) - known.keys())
+                new = [p for p in set(pieces) if p not in known]
                 known.update(zip(new, whole(new)))
                 counts.append(sum(map(known.__getitem__, pieces)))
         return counts
