@@ -31,11 +31,25 @@ from papyrine.workspace import exists, written
 PIECES = 300_000
 #: Missing texts that are looked up by a broadcast of their digests (40 bytes each) at most.
 BROADCAST_DIGESTS = 100_000
-#: The library's byte-level splitter breaks a text at these places too.
-PIECE = re.compile(r" ?[^ \t-\r\xa0  -     　]+|[ \t-\r\xa0  -     　]+(?![^ \t-\r\xa0  -     　])|[ \t-\r\xa0  -     　]+")
+#: The library's byte-level splitter breaks a text at these places too: before a blank that starts
+#: a word, around white space, and between a run of plain letters and a run of plain marks.
+_SPACE = " \t-\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+WORD = rf" ?[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)"
+MARKS = rf" ?[{_MARKS}]+(?=[ \t-\rA-Za-z0-9]|\Z)"
+PIECE = re.compile(rf"{WORD}|{MARKS}| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+PLAIN = re.compile(rf"(?: ?[{_LETTERS}]+| ?[{_MARKS}]+)\Z")
 DOUBTFUL = re.compile(r"[\x1c-\x1f\x85᠎​﻿]")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the signs
+    from U+0100 on in their order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts for the vocabulary file at ``path``."""
@@ -59,6 +73,12 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     if config.get("normalizer") or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
         return whole
     known: dict[str, int] = {}
+    signs = _byte_signs()
+
+    def of_piece(piece: str) -> int:
+        if PLAIN.match(piece):  # one word of the splitter: straight to the merges
+            return len(tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(signs)))
+        return len(tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def by_pieces(texts: list[str]) -> list[int]:
         counts = []
@@ -73,7 +93,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
                 if len(known) > PIECES:
                     known.clear()
                 new = [p for p in set(pieces) if p not in known]
-                known.update(zip(new, whole(new)))
+                known.update(zip(new, map(of_piece, new)))
                 counts.append(sum(map(known.__getitem__, pieces)))
         return counts
 
