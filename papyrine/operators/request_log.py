@@ -218,3 +218,9 @@ def per_user(log: DataFrame, now: Column) -> DataFrame:
         F.count_if(F.col("created_at") >= F.date_trunc("month", now)).alias("this_month"),
         F.max("created_at").alias("last_at"),
     )
+
+
+def user_detail(log: DataFrame, now: Column, pending_window: str) -> DataFrame:
+    """Per user: aggregates, usage of the month and dashboard, side by side."""
+    parts = [per_user(log, now), usage(log, now, pending_window).drop("total"), dashboard(log, now)]
+    return parts[0].join(parts[1], "user_id").join(parts[2], "user_id")

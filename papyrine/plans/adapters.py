@@ -21,6 +21,15 @@ TYPES = ["teudat_zehut", "teudat_zehut_back", "teudat_zehut_sefach", "israeli_pa
 BANKS = ["4", "9", "10", "11", "12", "13", "14", "17", "18", "20", "22", "23", "26", "31", "34", "46", "52", "54"]
 MODELS = [f"model-{i}" for i in range(11)]
 
+def check_digit(text: str, length: int) -> str:
+    """SQL of the weighted 7-3-1 digit of a text of digits and fillers."""
+    terms = [f"{(7, 3, 1)[i % 3]} * CASE WHEN substr({text}, {i + 1}, 1) = '<' THEN 0 ELSE CAST(substr({text}, {i + 1}, 1) AS INT) END" for i in range(length)]
+    return f"CAST(({' + '.join(terms)}) % 10 AS STRING)"
+
+
+_NUMBER, _BIRTH, _EXPIRY, _OPTIONAL = "lpad(CAST(c_custkey AS STRING), 9, '0')", "lpad(CAST(500101 + c_custkey % 27 AS STRING), 6, '0')", "lpad(CAST(300101 + c_custkey % 25 AS STRING), 6, '0')", "lpad(CAST(100000000 + c_custkey AS STRING), 9, '0') || '<<<<<'"
+_DATA = f"({_NUMBER} || {check_digit(f'({_NUMBER})', 9)} || 'UTO' || {_BIRTH} || {check_digit(f'({_BIRTH})', 6)} || 'F' || {_EXPIRY} || {check_digit(f'({_EXPIRY})', 6)} || {_OPTIONAL} || {check_digit(f'({_OPTIONAL})', 14)})"
+
 VIEWS = {
     "request_log": f"""
 SELECT event_id AS id, user_id, ts AS created_at,
@@ -87,6 +96,10 @@ FROM {lineitem}""",
     "dates": """
 SELECT o_orderkey AS k, CAST(extract(DAY FROM o_orderdate) AS STRING) AS d, CAST(extract(MONTH FROM o_orderdate) AS STRING) AS m,
   CAST(extract(YEAR FROM o_orderdate) AS STRING) AS y FROM {orders}""",
+    "zones": f"""
+SELECT k, upper_line, data || CASE WHEN k % 7 = 0 THEN CASE composite WHEN '0' THEN '1' ELSE '0' END ELSE composite END AS data_line FROM (
+  SELECT k, upper_line, data, {check_digit('(substr(data, 1, 10) || substr(data, 14, 7) || substr(data, 22, 22))', 39)} AS composite
+  FROM (SELECT c_custkey AS k, 'P<UTOERIKSSON<<ANNA<MARIA<<<<' AS upper_line, {_DATA} AS data FROM {{customer}}))""",
     "boxes": """
 SELECT l_orderkey AS page_id, l_linenumber AS idx, CAST(l_partkey * 7 % 600 AS INT) AS x1, CAST(l_suppkey * 13 % 600 AS INT) AS y1,
   CAST(l_partkey * 7 % 600 + 20 + l_partkey * 31 % 380 AS INT) AS x2, CAST(l_suppkey * 13 % 600 + 20 + l_partkey * 17 % 380 AS INT) AS y2,

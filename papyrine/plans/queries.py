@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import amounts, calendar, geometry, identifiers, names
-from papyrine.operators import registries, request_log, triage, validation
+from papyrine.operators import merge, registries, request_log, triage, validation
 from papyrine.plans.adapters import MODELS, oracle, view
+from papyrine.streaming import limits, stages
 
 NOW = "2024-01-31 00:00:00"
 WINDOW = "10 MINUTES"
@@ -385,3 +386,82 @@ def cheque_verdicts(spark, sf_dir):
     return validation.validate_cheque(records).select("k", "verdict")
 
 
+# --- zones, merging, folds ---------------------------------------------------------------------
+
+
+@query(
+    """SELECT k, k % 7 > 0 AS mrz_valid, CASE WHEN k % 5 = 0 THEN 'mismatch' WHEN k % 7 = 0 THEN 'partial' ELSE 'verified' END AS verdict,
+  CAST(1950 AS STRING) || '-01-' || lpad(CAST(1 + k % 27 AS STRING), 2, '0') AS birth, '2030-01-' || lpad(CAST(1 + k % 25 AS STRING), 2, '0') AS expiry FROM zones""",
+    "zones",
+)
+def identity_verdicts(spark, sf_dir):
+    """Zones with a wrong last digit at every 7th key, and a wrong birth date read at every 5th."""
+    k = F.col("k")
+    birth = F.concat(F.lit("1950-01-"), F.lpad((1 + k % 27).cast("string"), 2, "0"))
+    records = view(spark, sf_dir, "zones").select(
+        "k", F.lit("israeli_passport").alias("document_type"), (100000000 + k).cast("string").alias("id_number"), F.when(k % 5 == 0, "1999-09-09").otherwise(birth).alias("date_of_birth"),
+        F.lit(None).cast("string").alias("date_of_expiry"), F.lit("f").alias("sex"), F.array("upper_line", "data_line").alias("mrz_lines"),
+    )
+    told = lambda name: F.filter("cross_checks", lambda c: c["field"] == name)[0]["reference"]
+    return validation.validate_identity(records).select("k", "mrz_valid", "verdict", told("date_of_birth").alias("birth"), told("date_of_expiry").alias("expiry"))
+
+
+_TURN_TYPES = ["teudat_zehut_back", "israeli_passport", "other", "teudat_zehut", "unreadable", "foreign_passport", "teudat_zehut_sefach"]
+
+
+@query(
+    f"""SELECT conv_id AS page_id, arg_min(t, list_position([{", ".join(repr(t) for t in merge.PRIORITY)}], t) * 1000 + turn) AS document_type, count(*) AS n
+FROM (SELECT *, CASE (turn + conv_id) % 7 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TURN_TYPES))} END AS t FROM conversations) GROUP BY conv_id"""
+)
+def pages_merged(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TURN_TYPES]), ((F.col("turn") + F.col("conv_id")) % 7 + 1).cast("int"))
+    field = F.struct(F.substring("text", 1, 12).alias("value"), F.lit("high").alias("confidence"))
+    records = turns.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("pos"), kind.alias("document_type"), F.create_map(F.lit("last_name_en"), field).alias("fields"), F.lit(None).cast("array<string>").alias("mrz_lines"), F.lit(None).cast("string").alias("notes"))
+    counts = records.groupBy("page_id").agg(F.count("*").alias("n"))
+    return merge.merged(records).select("page_id", "document_type").join(counts, "page_id")
+
+
+@query(
+    """SELECT CAST(user_id AS STRING) AS request_id, CAST(count(*) FILTER (event_type = 'view') AS INT) AS classified, CAST(count(*) FILTER (event_type = 'click') AS INT) AS read_count,
+  CAST(count(*) FILTER (event_type = 'purchase') AS INT) AS n_notes FROM events GROUP BY user_id"""
+)
+def stage_progress(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.create_map(*[F.lit(x) for x in ("view", "classified", "click", "read", "purchase", "note")])
+    none = F.lit(None).cast("string")
+    staged = events.select(
+        F.col("user_id").cast("string").alias("request_id"), F.col("event_id").alias("seq"), F.coalesce(F.try_element_at(kind, "event_type"), F.lit("later")).alias("type"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.lit(None).cast("int").alias("i"), *[none.alias(c) for c in ("kind", "text", "document_type", "items", "error")],
+    )
+    return stages.progress(staged).select("request_id", "classified", "read_count", "n_notes")
+
+
+@query()
+def request_budget(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    requests = events.select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("request"))
+    return limits.token_bucket(requests, 2)
+
+
+@query(
+    """SELECT k, CASE k % 4 WHEN 0 THEN 'verified' WHEN 1 THEN NULL WHEN 2 THEN 'x' ELSE 'z' END AS left, CASE k % 4 WHEN 1 THEN 'y' WHEN 3 THEN 'w' WHEN 0 THEN 'other' END AS right FROM ids WHERE k % 4 <> 2
+UNION ALL SELECT k, 'x', NULL FROM ids WHERE k % 4 = 2""",
+    "ids",
+)
+def runs_compared(spark, sf_dir):
+    """Two runs that differ in value, or hold a field on one side only."""
+    k = F.col("k")
+    ids = view(spark, sf_dir, "ids").select(k.alias("file"), F.lit("f").alias("name"))
+    left = ids.withColumn("value", F.when(F.col("file") % 4 == 0, "verified").when(F.col("file") % 4 == 2, "x").when(F.col("file") % 4 == 3, "z")).dropna()
+    right = ids.withColumn("value", F.when(F.col("file") % 4 == 1, "y").when(F.col("file") % 4 == 3, "w").when(F.col("file") % 4 == 0, "other")).dropna()
+    return merge.run_diff(left, right).select(F.col("file").alias("k"), "left", "right")
+
+
+@query(
+    f"""SELECT user_id, count(*) AS docs, count(*) FILTER (status = 200) AS ok, count(*) FILTER (created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) AS last_30_days,
+  count(*) FILTER (status <> 200) AS failed_this_month FROM request_log GROUP BY user_id""",
+    "request_log",
+)
+def log_user_detail(spark, sf_dir):
+    return request_log.user_detail(view(spark, sf_dir, "request_log"), now(), WINDOW).select("user_id", "docs", "ok", "last_30_days", "failed_this_month")
