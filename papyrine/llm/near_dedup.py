@@ -13,13 +13,14 @@ coordinate with probability equal to their similarity.
 
 Candidates. ``BANDS`` bands of ``ROWS`` coordinates are joined; at similarity 0.8 a
 pair misses all bands with probability 3e-5. Equal word sequences are collapsed first,
-so groups of exact copies are one member. In a bucket every member is paired with the
-smallest and the largest member, not with all others; pairs are verified on the whole
-texts. Buckets that still hold several components get more rounds between random
-members of different components while links turn up, and then the remaining pairs of
-different components, except those that the triangle inequality of the Jaccard
-distance to the bucket's two ends rules out. So no link between components is missed
-among documents that share a bucket.
+so groups of exact copies are one member. A member is paired with the smallest members
+of its buckets, those that it meets in ``MEETINGS`` bands and the one that it meets most,
+not with all others; pairs are verified on the whole texts. Documents in buckets that
+still hold several components then get an exact join: two sets of similarity 0.8 share
+an element among the rarest that make up 0.2 of either one's weight, and what both hold
+from the first shared one on must reach the overlap asked for. So no link between
+components is missed among documents that share a bucket, and a passage that thousands
+of documents hold makes no pairs of them.
 
 Null texts are never duplicates. Texts under five words are one shingle: only equal
 ones match. Empty texts equal each other. Rows that share a key are one document.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blocks
@@ -42,6 +43,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
 COORDINATES = BANDS * ROWS
+#: Bands in which a member meets the smallest one of its buckets to be paired with it.
+MEETINGS = 3
 #: Sets of less weight match only equal sets: similarity 0.8 of different ones needs 5.
 LEAST_WEIGHT = 4
 
@@ -216,37 +219,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     verified links its word sequence has. Rows with a null key are left out."""
     sketch = written(_sketch(docs, key, text), "sketches")
     classes = written(sketch.groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
-    banded = classes.filter("bands is not null").select("rep", F.posexplode("bands").alias("band", "hash"))
-    ends = banded.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    # documents in a bucket with another document, and the bucket's two ends
-    buckets = written(banded.join(ends, ["band", "hash"]), "buckets")
-
-    def pairs_of(rows: DataFrame, a: str, b: str) -> DataFrame:
-        return rows.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-
-    tested = _verified(pairs_of(buckets, "low", "rep").union(pairs_of(buckets, "rep", "high")).distinct(), docs, key, text)
-    turn = 0
-    while True:
-        roots = _components_of(tested)
-        labelled = buckets.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        spread = labelled.groupBy("band", "hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "hash", "r0")
-        mixed = written(labelled.join(spread, ["band", "hash"]), "mixed-buckets")
-        if mixed.isEmpty():
-            break
-        turn += 1
-        order = F.xxhash64("rep", F.lit(turn))
-        picks = mixed.groupBy("band", "hash", "r0", "root").agg(F.min_by("rep", order).alias("x"), F.max_by("rep", order).alias("y"))
-        centre = picks.filter("root = r0").select("band", "hash", F.col("x").alias("cx"), F.col("y").alias("cy"))
-        crossed = picks.filter("root <> r0").join(centre, ["band", "hash"])
-        fresh = pairs_of(crossed, "cx", "x").union(pairs_of(crossed, "cy", "y")).union(pairs_of(crossed, "cx", "y")).distinct()
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "fresh-pairs")
-        found = _verified(fresh, docs, key, text)
-        settled = found.filter(F.col("similarity") >= THRESHOLD).isEmpty()
-        tested = tested.unionByName(found)
-        if settled:
-            tested = tested.unionByName(_verified(_remaining(mixed, tested), docs, key, text))
-            roots = _components_of(tested)
-            break
+    # a hash holds its band's number, so buckets of different bands never meet
+    banded = classes.filter("bands is not null").select("rep", F.explode("bands").alias("hash"))
+    ends = banded.groupBy("hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("hash", "low")
+    # documents in a bucket with another document, and the bucket's smallest one
+    buckets = written(banded.join(ends, "hash"), "buckets")
+    meetings = buckets.filter("low <> rep").groupBy("rep", "low").agg(F.count("*").alias("n"))
+    most = meetings.groupBy("rep").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
+    often = meetings.filter(F.col("n") >= MEETINGS).select("rep", "low")
+    pairs = often.union(most.select("rep", "low")).distinct().select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    tested = _verified(pairs, docs, key, text)
+    roots = _components_of(tested)
+    labelled = buckets.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    spread = labelled.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("hash")
+    mixed = written(labelled.join(spread, "hash").groupBy("rep").agg(F.min("root").alias("root")), "mixed-documents")
+    more = _verified(_rare_pairs(mixed, docs, key, text).join(tested, ["a", "b"], "left_anti"), docs, key, text)
+    tested = tested.unionByName(more)
+    roots = _components_of(tested)
     links = tested.filter(F.col("similarity") >= THRESHOLD)
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     of_class = classes.select("d1", "d2", "rep").join(roots.toDF("rep", "root"), "rep", "left").join(degree, "rep", "left")
@@ -257,20 +246,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return found.unionByName(without).withColumnRenamed("key", key)
 
 
-def _remaining(mixed: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of different components in one bucket that may be linked: their
-    distances to the bucket's ends, where known, differ by no more than a link's."""
-    known = tested.select("a", "b", (1 - F.col("similarity")).alias("d"))
+def _weighted_shingles(mixed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(rep, root, shingle, weight, total) of every shingle of the given documents."""
+    bodies = docs.select(F.col(key).alias("rep"), F.col(text).alias("_t")).join(mixed, "rep").groupBy("rep", "root").agg(F.max("_t").alias("_t"))
 
-    def distance(rows: DataFrame, end: str, name: str) -> DataFrame:
-        keyed = rows.withColumns({"a": F.least("rep", end), "b": F.greatest("rep", end)}).join(known, ["a", "b"], "left")
-        return keyed.withColumn(name, F.when(F.col("rep") == F.col(end), F.lit(0.0)).otherwise(F.col("d"))).drop("a", "b", "d")
-
-    members = distance(distance(mixed, "low", "dl"), "high", "dh").select("band", "hash", "rep", "root", "dl", "dh")
-    left, right = members.alias("l"), members.alias("r")
-    near = [F.coalesce(F.abs(F.col(f"l.{d}") - F.col(f"r.{d}")) <= 1 - THRESHOLD, F.lit(True)) for d in ("dl", "dh")]
-    joined = left.join(right, (F.expr("l.band = r.band and l.hash = r.hash and l.rep < r.rep and l.root <> r.root")) & near[0] & near[1])
-    return written(joined.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "remaining-pairs")
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["_t"].tolist()
+            for a, b in text_blocks(texts):
+                owner, elements, counts = shingles(texts[a:b])
+                total = np.bincount(owner, counts, b - a)
+                part = batch.iloc[a + owner]
+                yield pd.DataFrame(
+                    {"rep": part["rep"].to_numpy(), "root": part["root"].to_numpy(), "shingle": elements.view(np.int64), "weight": counts.astype(float), "total": total[owner]}
+                )
+
+    kind = mixed.schema["rep"].dataType.simpleString()
+    return bodies.mapInPandas(of, f"rep {kind}, root {kind}, shingle long, weight double, total double")
+
+
+def _rare_pairs(mixed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b) of documents in different components that may be linked: they share an element of
+    their rarest fifth, and the rests from there on are large enough."""
+    every = written(_weighted_shingles(mixed, docs, key, text), "shingles")
+    frequency = every.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = every.join(frequency, "shingle")
+    # elements of one document; those held by no other come first and are not rows here
+    rarest = Window.partitionBy("rep").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("rep")
+    before = F.col("total") - F.sum("weight").over(own) + F.coalesce(F.sum("weight").over(rarest), F.lit(0.0))
+    prefix = shared.withColumn("before", before).filter(F.col("before") <= (1 - THRESHOLD) * F.col("total") + 1e-6)
+    prefix = written(prefix.select("shingle", "rep", "root", "total", (F.col("total") - F.col("before")).alias("rest")), "rare-elements")
+    left, right = prefix.alias("l"), prefix.alias("r")
+    enough = F.least("l.rest", "r.rest") >= THRESHOLD / (1 + THRESHOLD) * (F.col("l.total") + F.col("r.total")) - 1e-6
+    joined = left.join(right, F.expr("l.shingle = r.shingle and l.rep < r.rep and l.root <> r.root") & enough)
+    return joined.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
