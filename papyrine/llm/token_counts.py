@@ -130,6 +130,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, key: str = "doc_i
                 yield pd.DataFrame({"digest": batch["digest"], "n_tokens": count(batch["content"].tolist())})
 
         once.mapInPandas(encode, "digest binary, n_tokens long").write.mode("append").parquet(folder)
+    if not exists(spark, folder):  # no texts and nothing cached yet
+        return keys.select(key, "n_bytes", F.lit(0).cast("long").alias("n_tokens"))
     # two runs may have appended the same digest; the count is the same
     counts = spark.read.schema("digest binary, n_tokens long").parquet(folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keys.join(counts, "digest").select(key, "n_bytes", "n_tokens")
