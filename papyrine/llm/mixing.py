@@ -11,7 +11,9 @@ steps. Expected tokens of all domains together stay those of the corpus.
 
 Features of the classifier are the distinct lower-case words of a text and the
 character pairs with a symbol, hashed into ``2**BITS`` places. It is fitted on at most
-``MAX_LABELLED`` labelled rows, those with the smallest hash of the key.
+``MAX_LABELLED`` labelled rows, those with the smallest hash of the key. Only telling
+places count: those of ``LEAST_ROWS`` rows or more whose chi-square statistic with a
+domain exceeds ``TELLING``; the many words of one text or two would drown the others.
 
 Null texts count as empty; without words a document has no tokens, the posteriors of
 the labelled rows' shares, and rate 1. Without labelled rows all domains are equally
@@ -31,8 +33,11 @@ from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blo
 from papyrine.llm.kneser_ney import scored
 from papyrine.workspace import written
 
-BITS = 16
+BITS = 18
 MAX_LABELLED = 6_000
+LEAST_ROWS = 5
+#: Chi-square, one degree of freedom: chance passes it for less than one place in a million.
+TELLING = 25.0
 #: Steps of the rate fit at most, and the relative error that ends it.
 STEPS, TOLERANCE = 40, 1e-4
 
@@ -67,13 +72,31 @@ def _margins(weights: np.ndarray, intercept: np.ndarray, starts: np.ndarray, fea
     return intercept + sums * scale[:, None]
 
 
+def _telling(places: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each place, whether rows with it differ from the others in their domains."""
+    n, size = len(y), 1 << BITS
+    seen = np.bincount(places, minlength=size).astype(np.float64)
+    out = np.zeros(size, bool)
+    for own in y.T:
+        expected, spread = seen * own.mean(), seen * (1 - seen / n) * own.mean() * (1 - own.mean())
+        excess = np.maximum(np.abs(np.bincount(places, own[rows], size) - expected) - 0.5, 0)
+        out |= excess**2 > TELLING * spread
+    return out & (seen >= LEAST_ROWS)
+
+
+def _kept(telling: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` and ``places`` of the telling places alone."""
+    keep = telling[places]
+    return np.concatenate(([0], np.cumsum(keep)))[starts], places[keep]
+
+
 def _softmax(margins: np.ndarray) -> np.ndarray:
     e = np.exp(margins - margins.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain", steps: int = 150, rate: float = 4.0, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, intercept) of a softmax regression, from the labelled rows of ``docs``."""
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain", steps: int = 150, rate: float = 4.0, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(telling places, weights, intercept) of a softmax regression, from the labelled rows of ``docs``."""
     known = labels.select(key, F.col(domain).alias("_domain")).filter(F.col("_domain").isin(domains))
     chosen = known.orderBy(F.xxhash64(key), key, "_domain").limit(MAX_LABELLED)
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), key)
@@ -87,10 +110,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], key: str
     prior = np.log((y.sum(axis=0) + 1) / (len(y) + len(domains)))
     weights, intercept = np.zeros((1 << BITS, len(domains))), prior
     if not len(y):
-        return weights, intercept
+        return np.zeros(1 << BITS, bool), weights, intercept
     size = np.array([len(p) for p in sample["places"]])
     places = np.concatenate([*sample["places"], np.empty(0, np.int64)]).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(size)))
+    telling = _telling(places, np.repeat(np.arange(len(y)), size), y)
+    starts, places = _kept(telling, starts, places)
+    size = np.diff(starts)
     row, scale = np.repeat(np.arange(len(y)), size), 1 / np.sqrt(np.maximum(size, 1))
     # adaptive steps: rare telling words get as far as frequent ones
     seen = np.full_like(weights, 1e-8)
@@ -101,17 +127,19 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], key: str
             seen[:, k] += g * g
             weights[:, k] -= rate / 10 * g / np.sqrt(seen[:, k])
         intercept = intercept - rate * error.sum(axis=0)
-    return weights, intercept
+    return telling, weights, intercept
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
     """(key, n_tokens, posterior array<double>) of every document; tokens are words."""
-    weights, intercept = fit_domains(docs, labels, domains, key, text, domain)
-    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), intercept))
+    telling, weights, intercept = fit_domains(docs, labels, domains, key, text, domain)
+    shared = docs.sparkSession.sparkContext.broadcast((telling, weights.astype(np.float32), intercept))
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
         starts, places, n_words = hashed_features(batch["_text"].tolist())
-        return pd.DataFrame({key: batch[key], "n_tokens": n_words, "posterior": list(_softmax(_margins(*shared.value, starts, places)))})
+        telling, weights, intercept = shared.value
+        margins = _margins(weights, intercept, *_kept(telling, starts, places))
+        return pd.DataFrame({key: batch[key], "n_tokens": n_words, "posterior": list(_softmax(margins))})
 
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return scored(rows, [key, "_text"], score, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, posterior array<double>")
