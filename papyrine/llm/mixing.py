@@ -4,10 +4,15 @@ A classifier fitted on a labelled table gives every document a probability for e
 domain (posterior). Rates ``r >= 0``, one a document, are fitted so that the expected
 tokens of each domain, ``sum r * tokens * posterior``, come as near to the targets as
 least squares can: projected gradient descent from ``r = 1``, with every domain's
-error weighed by the inverse of its own curvature and Nesterov's momentum. A step
-needs one number a domain from the whole corpus, which Spark sums; a task replays
-the steps for its documents from those few numbers, so no rates are stored between
-steps. Expected tokens of all domains together stay those of the corpus.
+error weighed by the inverse of its own curvature and Nesterov's momentum. Distances
+between rates are weighed by tokens, so a document's step depends on its posterior
+alone and a few very long documents do not slow the others. The step length is the
+inverse of the largest eigenvalue of the domains' curvature; the fit ends when the
+targets are met or when a step moves nothing any more, where no rates meet them, which
+a warning reports. A step needs a few numbers a domain from the whole corpus, which
+Spark sums; a task replays the steps for its documents from those few numbers, so no
+rates are stored between steps. Expected tokens of all domains together stay those of
+the corpus.
 
 Features of the classifier are the distinct lower-case words of a text and the
 character pairs with a symbol, hashed into ``2**BITS`` places. It is fitted on at most
@@ -22,6 +27,7 @@ likely. Rows with the same text get the same rate.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +44,9 @@ MAX_LABELLED = 6_000
 LEAST_ROWS = 5
 #: Chi-square, one degree of freedom: chance passes it for less than one place in a million.
 TELLING = 25.0
-#: Steps of the rate fit at most, and the relative error that ends it.
-STEPS, TOLERANCE = 40, 1e-4
+#: The error of a share of tokens that ends the rate fit, the share of tokens that a settled fit
+#: still moves in a step, and the steps after which a fit that does neither is an error.
+TOLERANCE, STILL, STEPS = 1e-4, 1e-7, 2_000
 
 
 def hashed_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,69 +152,85 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], key: str
     return scored(rows, [key, "_text"], score, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, posterior array<double>")
 
 
-def _replayed(loads: np.ndarray, history: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next gradient) after the steps of ``history``: (momentum, gradient
-    multipliers by domain)."""
-    rate = point = np.ones(len(loads))
+def _replayed(shares: np.ndarray, history: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates, point of the next gradient, point before the last step) after the steps of
+    ``history``: (momentum, gradient multipliers by domain)."""
+    rate = point = before = np.ones(len(shares))
     for momentum, multipliers in history:
-        new = np.maximum(point - loads @ multipliers, 0)
-        rate, point = new, new + momentum * (new - rate)
-    return rate, point
+        new = np.maximum(point - shares @ multipliers, 0)
+        rate, point, before = new, new + momentum * (new - rate), point
+    return rate, point, before
 
 
-def _domain_sums(measured: DataFrame, history: list[tuple[float, np.ndarray]], scale: float) -> np.ndarray:
-    """Expected load of each domain at the next gradient's point, over all documents."""
+def _domain_sums(measured: DataFrame, history: list[tuple[float, np.ndarray]], scale: float, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected load of each domain at the rates and at the next gradient's point, and the share
+    of the corpus's tokens that the last step moved, over all documents."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0.0
+        total = np.zeros(2 * k + 1)
         for batch in batches:
-            loads = _loads(batch, scale)
-            total = total + _replayed(loads, history)[1] @ loads
-        if np.ndim(total):
-            yield pd.DataFrame({"domain": range(len(total)), "load": total})
+            shares, size = _shares(batch)
+            rate, point, before = _replayed(shares, history)
+            size = size / scale
+            total += np.concatenate(((rate * size) @ shares, (point * size) @ shares, [np.abs(rate - before) @ size]))
+        yield pd.DataFrame({"place": range(len(total)), "load": total})
 
-    sums = measured.select("n_tokens", "posterior").mapInPandas(partial, "domain int, load double")
-    rows = sums.groupBy("domain").agg(F.sum("load").alias("load")).orderBy("domain").collect()
-    return np.array([r["load"] for r in rows])
+    sums = measured.select("n_tokens", "posterior").mapInPandas(partial, "place int, load double")
+    rows = sums.groupBy("place").agg(F.sum("load").alias("load")).orderBy("place").collect()
+    found = np.array([r["load"] for r in rows])
+    return found[:k], found[k:-1], float(found[-1])
 
 
-def _loads(batch: pd.DataFrame, scale: float) -> np.ndarray:
-    return np.stack(batch["posterior"].to_numpy()) * (batch["n_tokens"].to_numpy() / scale)[:, None]
+def _shares(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(posteriors, 0 where a document has no tokens; tokens)."""
+    tokens = batch["n_tokens"].to_numpy(np.float64)
+    return np.stack(batch["posterior"].to_numpy()) * (tokens > 0)[:, None], tokens
 
 
 def fit_rates(measured: DataFrame, targets: np.ndarray) -> tuple[list[tuple[float, np.ndarray]], float]:
-    """(steps, tokens of the corpus): what :func:`with_rates` replays."""
+    """(steps, largest error of a domain's share of tokens): what :func:`with_rates` replays.
+
+    Stops where the targets are met or where a step moves nothing any more. Raises an error
+    where neither comes in ``STEPS`` steps."""
     k = len(targets)
-    tokens = F.col("n_tokens").cast("double")
-    curvature = [F.sum((tokens * F.col("posterior")[i]) ** 2).alias(f"c{i}") for i in range(k)]
-    totals = measured.agg(F.sum(tokens).alias("tokens"), *curvature).first()
+    tokens, p = F.col("n_tokens").cast("double"), [F.col("posterior")[i] for i in range(k)]
+    pairs = [F.sum(tokens * p[i] * p[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(k)]
+    totals = measured.agg(F.sum(tokens).alias("tokens"), *pairs).first()
     scale = totals["tokens"] or 0.0
     if not scale:
-        return [], 1.0
-    weight = np.array([1 / max(totals[f"c{i}"] / scale**2, 1e-300) for i in range(k)])
-    # the weighted operator's norm is at most the number of domains that share a document
-    step, history, previous, momentum = 1.0, [], None, 0.0
-    for t in range(STEPS):
-        loads = _domain_sums(measured, history, scale)
-        error = loads - targets
-        if np.abs(error).max() < TOLERANCE:
-            break
-        if previous is not None and np.abs(error).max() > 1.5 * previous:
-            step, history, previous = step / 2, [], None  # too bold: once more from the start
-            continue
-        previous = np.abs(error).max()
-        momentum = len(history) / (len(history) + 3)
-        history.append((momentum, step * weight * error))
-    return history, scale
+        return [], 0.0
+    curvature = np.array([[totals[f"c{i}_{j}"] / scale for j in range(k)] for i in range(k)])
+    own = np.diag(curvature)
+    weight = np.where(own > 0, 1 / np.where(own > 0, own, 1), 0.0)
+    # the inverse of the largest eigenvalue: no step can be too bold
+    step = 1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * curvature * np.sqrt(weight))[-1]
+    history, previous, run = [], np.inf, 0
+    while True:
+        rated, pointed, moved = _domain_sums(measured, history, scale, k)
+        error = rated - targets
+        residual = float(np.abs(error).max())
+        if residual < TOLERANCE or history and moved < STILL:
+            return history, residual
+        if len(history) == STEPS:
+            raise RuntimeError(f"the rates are not settled after {STEPS} steps: a domain's share of tokens is off by {residual:.2g}")
+        loss = float(weight @ error**2)
+        if loss > previous and run:  # overshot: momentum starts anew from the rates
+            history[-1], run = (0.0, history[-1][1]), 0
+            pointed = rated
+        previous = loss
+        run += 1
+        history.append((run / (run + 3), step * weight * (pointed - targets)))
 
 
 def with_rates(measured: DataFrame, targets: dict[str, float], key: str = "doc_id") -> DataFrame:
     """``measured`` (from :func:`posteriors`, domains in the order of ``targets``) with ``rate``."""
     shares = np.array(list(targets.values())) / sum(targets.values())
-    history, scale = fit_rates(measured, shares)
+    history, residual = fit_rates(measured, shares)
+    if residual >= TOLERANCE:
+        warnings.warn(f"no rates meet the targets: the nearest leave a domain's share of tokens off by {residual:.2g}", stacklevel=2)
 
     def rates(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.assign(rate=_replayed(_loads(batch, scale), history)[0])
+        return batch.assign(rate=_replayed(_shares(batch)[0], history)[0])
 
     columns = [key, "n_tokens", "posterior"]
     return scored(measured, columns, rates, f"`{key}` {measured.schema[key].dataType.simpleString()}, n_tokens long, posterior array<double>, rate double")

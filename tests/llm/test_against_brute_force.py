@@ -282,6 +282,24 @@ def test_rates_meet_targets(spark):
     assert np.allclose(load, (0.25, 0.5, 0.25), atol=2e-3) and min(r.rate for r in found) >= 0
 
 
+def test_rates_meet_targets_with_a_few_huge_documents(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(50, 900)), [[0.99, 0.005, 0.005], [0.005, 0.99, 0.005], [0.005, 0.005, 0.99]][int(rng.choice(3, p=(0.6, 0.3, 0.1)))]) for i in range(3000)]
+    rows += [(3000 + i, 200_000, [0.9, 0.05, 0.05]) for i in range(10)]
+    measured = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    found = mixing.with_rates(measured, {"clean": 0.90, "low": 0.08, "toxic": 0.02}).collect()
+    load = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in found) / sum(r.n_tokens for r in found)
+    assert np.allclose(load, (0.90, 0.08, 0.02), atol=2e-4) and min(r.rate for r in found) >= 0
+
+
+def test_rates_report_targets_out_of_reach(spark):
+    rows = [(i, 10 + i, [0.5, 0.5]) for i in range(50)] + [(50, 0, [0.5, 0.5])]
+    measured = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="off by 0.4"):
+        found = mixing.with_rates(measured, {"a": 0.9, "b": 0.1}).collect()
+    assert np.allclose([r.rate for r in found], 1.0)
+
+
 def test_domain_posteriors(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = queries.domain_labels(spark, sf_dir)
