@@ -1,27 +1,32 @@
 """Benchmark decontamination under word edit distance.
 
 A document holds an item of ``n`` words where one of its windows of ``n`` words turns
-into the item by at most ``EDITS * n`` word insertions, deletions and substitutions.
-Words are runs of letters and digits in lower case.
+into the item by at most ``EDITS * n`` word insertions, deletions and substitutions,
+or by none where the item has under ``EDITED_WORDS`` words. Words are runs of letters
+and digits in lower case; in scripts without blanks every character is one.
 
 1. Seeds: ``e`` edits leave a run of ``ceil((n - e) / (e + 1))`` words of an item as it
    was, so windows without such a run are no matches; the others start where a shared
-   run says, up to ``e`` words earlier or later.
+   run says, up to ``e`` words earlier or later. Windows with fewer than ``n - e`` words
+   of the item are no matches either.
 2. CGK embedding: a random walk over a window repeats or passes on each word by a hash
    of step and word, which maps edit distance to Hamming distance. Windows whose
    sampled places of the embedding agree with an item's in one of several repetitions
-   are candidates. The number of repetitions is fitted: random edits of the items, as
-   many as are allowed, must be found at the rate ``RECALL``.
-3. Candidates are verified by the exact edit distance.
+   are verified first. The number of repetitions is fitted: random edits of the items,
+   as many as are allowed, are to be found at the rate ``RECALL``.
+3. Verification by the exact edit distance. It goes on to every window that no repetition
+   found, unless the words it lacks alone make it farther than one that was found, so
+   what is reported does not depend on the embedding.
 
 Items go to the tasks in blocks of ``BLOCK_ITEMS``; each block is one pass over the
-documents, without a shuffle. Items under ``MIN_ITEM_WORDS`` words are phrases that
-any text may hold and are left out, as are null items; null texts hold nothing. Equal
-items are reported each. Of several windows the closest counts, then the first.
+documents, without a shuffle. Items under ``least_words`` words are left out (with 1,
+those without any word), as are null items; null texts hold nothing. Equal items are reported each. Of several windows the closest
+counts, then the first.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
@@ -36,14 +41,22 @@ from papyrine.workspace import written
 
 EDITS = 0.2
 RECALL = 0.99
+#: Items of fewer words must be held word for word.
+EDITED_WORDS = 8
+#: Words of an item from which it is searched, unless the caller says otherwise (the queries search every item).
 MIN_ITEM_WORDS = 8
 BLOCK_ITEMS = 20_000
 WALKS = 4
 #: Places of the embedding that must agree in one repetition.
 SAMPLED = 6
 MAX_REPETITIONS = 96
-#: Windows that are embedded at once.
-WINDOWS = 40_000
+#: Pairs of a shared run and an item, and words of windows, that are handled at once.
+PAIRS, CELLS = 500_000, 1 << 21
+#: Blocks of scripts without blanks: Thai, Lao, Burmese, Khmer, kana and ideographs.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
 
 
 @lru_cache(maxsize=1)
@@ -51,10 +64,26 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(p).isalnum() for p in range(0x110000)), bool, 0x110000)
 
 
+@lru_cache(maxsize=1)
+def _alone() -> np.ndarray:
+    """Whether each code point is a word of its own: letters, digits and vowel signs of ``UNSPACED``."""
+    out = np.zeros(0x110000, bool)
+    for low, high in UNSPACED:
+        out[low : high + 1] = [unicodedata.category(chr(p))[0] in "LMN" for p in range(low, high + 1)]
+    return out
+
+
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the end)."""
     points, bounds = code_points([t.lower() for t in texts])
-    words = Words(points, bounds, _letters()[points])
+    alone = _alone()[points]
+    inside = _letters()[points] | alone
+    words = Words(points, bounds, inside)
+    if alone.any():
+        joined = inside[1:] & inside[:-1] & ~alone[1:] & ~alone[:-1]
+        words.starts = np.flatnonzero(inside & ~np.concatenate(([False], joined)))
+        words.ends = np.flatnonzero(inside & ~np.concatenate((joined, [False]))) + 1
+        words.of_text = np.searchsorted(words.starts, bounds)
     return words.hashes(), words.of_text
 
 
@@ -66,7 +95,7 @@ def _runs(hashes: np.ndarray, q: int) -> np.ndarray:
 
 
 def allowed_edits(n: np.ndarray) -> np.ndarray:
-    return np.floor(EDITS * n + 1e-9).astype(np.int64)
+    return np.where(n < EDITED_WORDS, 0, np.floor(EDITS * n + 1e-9)).astype(np.int64)
 
 
 def cgk(windows: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
@@ -120,15 +149,22 @@ def _matrix(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 @dataclass
 class Items:
-    """One block of items: words, seed runs and LSH buckets."""
+    """One block of items: words, seed runs, sampled hashes by repetition, and marks at the
+    places of every item's words."""
 
     ids: list
     words: np.ndarray
     lengths: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    repetitions: int
-    buckets: np.ndarray
-    members: np.ndarray
+    samples: np.ndarray
+    marks: np.ndarray
+
+
+def _places(words: np.ndarray, item: np.ndarray, n_places: int) -> np.ndarray:
+    """Place of a word of an item among the marks. Two words may meet in one: a window then
+    seems to have more of the item's words than it has, never fewer."""
+    keys = (words ^ mix(item.astype(U64) + U64(1))) * U64(0xD6E8FEB86659FD93)
+    return (keys >> U64(65 - n_places.bit_length())).astype(np.int64)
 
 
 def _hashes(words: np.ndarray, lengths: np.ndarray, repetitions: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,10 +198,10 @@ def _fitted_repetitions(words: np.ndarray, lengths: np.ndarray) -> int:
     return int(np.argmax(reached >= RECALL)) + 1 if reached[-1] >= RECALL else MAX_REPETITIONS
 
 
-def prepare(ids: list, texts: list[str]) -> Items | None:
+def prepare(ids: list, texts: list[str], least_words: int = MIN_ITEM_WORDS) -> Items | None:
     hashes, bounds = _words(texts)
     lengths = np.diff(bounds)
-    kept = lengths >= MIN_ITEM_WORDS
+    kept = lengths >= max(least_words, 1)
     if not kept.any():
         return None
     ids = [i for i, k in zip(ids, kept) if k]
@@ -184,11 +220,11 @@ def prepare(ids: list, texts: list[str]) -> Items | None:
         runs_ = np.concatenate(runs)
         order = np.argsort(runs_, kind="stable")
         seeds[int(q)] = runs_[order], np.concatenate(items)[order], np.concatenate(offsets)[order]
-    repetitions = _fitted_repetitions(words, lengths)
-    buckets = np.concatenate([h for _, h in _hashes(words, lengths, repetitions)])
-    members = np.tile(np.arange(len(ids)), repetitions)
-    order = np.argsort(buckets, kind="stable")
-    return Items(ids, words, lengths, seeds, repetitions, buckets[order], members[order])
+    samples = np.stack([h for _, h in sorted(_hashes(words, lengths, _fitted_repetitions(words, lengths)), key=lambda x: x[0])])
+    marks = np.zeros(1 << max(16, 4 + int(lengths.sum()).bit_length()), bool)
+    item, at = np.nonzero(np.arange(words.shape[1]) < lengths[:, None])
+    marks[_places(words[item, at], item, len(marks))] = True
+    return Items(ids, words, lengths, seeds, samples, marks)
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +234,28 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]
 
 
-def _windows(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the distinct windows around the seeds of a block of texts."""
-    starts, lengths = [], []
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices whose ``sizes`` add up to about ``limit``."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def _last(*columns: np.ndarray) -> np.ndarray:
+    """Index of the last row of each group: equal in all ``columns`` but the last, which orders it."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[-1:] = True
+    for column in columns[:-1]:
+        new[:-1] |= column[order[1:]] != column[order[:-1]]
+    return order[new]
+
+
+def _seeded(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, first and last start of the windows around a shared run) of a block of texts."""
     text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for q, (runs, own, offsets) in items.seeds.items():
         found = _runs(hashes, q)
@@ -211,19 +266,47 @@ def _windows(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.n
         filter_[runs >> U64(44)] = True
         at = np.flatnonzero(filter_[found >> U64(44)] & inside)
         low, high = np.searchsorted(runs, found[at], "left"), np.searchsorted(runs, found[at], "right")
-        of, seed = _ranges(low, high)
-        n = items.lengths[own[seed]]
-        edits = allowed_edits(n)
-        of2, start = _ranges(at[of] - offsets[seed] - edits, at[of] - offsets[seed] + edits + 1)
-        n, text = n[of2], text_of[at[of][of2]]
-        # a window has the item's size; a shorter text is one window with nothing beyond its end
-        start = np.clip(start, bounds[text], np.maximum(bounds[text + 1] - n, bounds[text]))
-        starts.append(start)
-        lengths.append(n)
-    if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pair = np.unique(np.concatenate(starts) * 100_003 + np.concatenate(lengths))
-    return pair // 100_003, pair % 100_003
+        for part in _slices(high - low, PAIRS):
+            of, seed = _ranges(low[part], high[part])
+            item, begin, text = own[seed], at[part][of] - offsets[seed], text_of[at[part][of]]
+            n = items.lengths[item]
+            edits = allowed_edits(n)
+            # a window has the item's size; a shorter text is one window with nothing beyond its end
+            most = np.maximum(bounds[text + 1] - n, bounds[text])
+            first, last = np.clip(begin - edits, bounds[text], most), np.clip(begin + edits, bounds[text], most)
+            kept = _last(item, first, last)
+            item, first, last = item[kept], first[kept], last[kept]
+            # without edits the first window of a text is the closest
+            word_for_word = edits[kept] == 0
+            again = np.zeros(len(item), bool)
+            again[1:] = word_for_word[1:] & (item[1:] == item[:-1]) & (text_of[first[1:]] == text_of[first[:-1]])
+            yield item[~again], first[~again], last[~again]
+
+
+def _windows(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, least distance) of the distinct windows of a block of texts that have a run
+    and enough words of an item."""
+    parts = [np.empty((3, 0), np.int64)]
+    for item, first, last in _seeded(hashes, bounds, items):
+        n = items.lengths[item]
+        wide = np.argsort(last - first + n, kind="stable")
+        item, first, last, n = item[wide], first[wide], last[wide], n[wide]
+        end = bounds[np.searchsorted(bounds, first, "right")]
+        for part in _slices(last - first + n, CELLS):
+            i, a, size = item[part], first[part], (last - first + n)[part]
+            at = a[:, None] + np.arange(size[-1])
+            of, column = np.nonzero((at < end[part][:, None]) & (np.arange(size[-1]) < size[:, None]))
+            held = np.zeros((len(i), size[-1] + 1), np.int32)
+            held[of, column + 1] = items.marks[_places(hashes[a[of] + column], i[of], len(items.marks))]
+            held = np.cumsum(held, axis=1, dtype=np.int32)
+            of, start = _ranges(a, last[part] + 1)
+            n_ = n[part][of]
+            least = n_ - (held[of, start - a[of] + n_] - held[of, start - a[of]])
+            near = least <= allowed_edits(n_)
+            parts.append(np.stack((i[of], start, least))[:, near])
+    item, start, least = np.concatenate(parts, axis=1)
+    kept = _last(item, start, least)
+    return item[kept], start[kept], least[kept]
 
 
 def find(texts: list[str], items: Items) -> pd.DataFrame:
@@ -231,47 +314,52 @@ def find(texts: list[str], items: Items) -> pd.DataFrame:
     parts = []
     for a, b in text_blocks(texts):
         hashes, bounds = _words(texts[a:b])
-        starts, lengths = _windows(hashes, bounds, items)
-        text_of = np.searchsorted(bounds, starts, "right") - 1
-        for w in range(0, len(starts), WINDOWS):
-            s, n, t = starts[w : w + WINDOWS], lengths[w : w + WINDOWS], text_of[w : w + WINDOWS]
-            words = np.where(np.arange(n.max()) < (bounds[t + 1] - s)[:, None], _matrix(hashes, s, n), U64(0))
-            met = []
-            for _, own in _hashes(words, n, items.repetitions):
-                low, high = np.searchsorted(items.buckets, own, "left"), np.searchsorted(items.buckets, own, "right")
-                window, member = _ranges(low, high)
-                met.append(window * len(items.ids) + items.members[member])
-            pair = np.unique(np.concatenate(met))
-            window, item = pair // len(items.ids), pair % len(items.ids)
-            same = items.lengths[item] == n[window]
-            window, item = window[same], item[same]
-            if not len(window):
-                continue
-            width = int(n[window].max())
-            distance = edit_distances(words[window, :width], items.words[item, :width], n[window])
-            good = distance <= allowed_edits(n[window])
-            window, item = window[good], item[good]
-            parts.append(pd.DataFrame({"text": t[window] + a, "item": item, "distance": distance[good], "start": s[window] - bounds[t[window]]}))
+        item, start, least = _windows(hashes, bounds, items)
+        order = np.argsort(items.lengths[item], kind="stable")
+        item, start, least = item[order], start[order], least[order]
+        text, n = np.searchsorted(bounds, start, "right") - 1, items.lengths[item]
+        _, pair = np.unique(item * len(texts) + text, return_inverse=True)
+        closest, distance = allowed_edits(n[np.unique(pair, return_index=True)[1]]), np.full(len(item), -1)
+
+        def words(part: np.ndarray) -> np.ndarray:
+            inside = np.arange(n[part].max()) < (bounds[text[part] + 1] - start[part])[:, None]
+            return np.where(inside, _matrix(hashes, start[part], n[part]), U64(0))
+
+        def verify(rows: np.ndarray) -> None:
+            for part in _slices(n[rows], CELLS):
+                own = rows[part]
+                left = words(own)
+                distance[own] = edit_distances(left, items.words[item[own], : left.shape[1]], n[own])
+                np.minimum.at(closest, pair[own], distance[own])
+
+        met = np.zeros(len(item), bool)
+        for part in _slices(n, CELLS // 4):
+            for repetition, own in _hashes(words(np.arange(len(n))[part]), n[part], len(items.samples)):
+                met[part] |= own == items.samples[repetition, item[part]]
+        verify(np.flatnonzero(met))
+        verify(np.flatnonzero(~met & (least <= closest[pair])))
+        good = (distance >= 0) & (distance <= allowed_edits(n))
+        parts.append(pd.DataFrame({"text": text[good] + a, "item": item[good], "distance": distance[good], "start": (start - bounds[text])[good]}))
     if not parts:
         return pd.DataFrame({"text": [], "item": [], "distance": [], "start": []}).astype("int64")
     return pd.concat(parts).sort_values(["text", "item", "distance", "start"]).drop_duplicates(["text", "item"])
 
 
-def _blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, item: str, item_text: str, least_words: int) -> Iterator[Items]:
     rows = benchmark.select(item, item_text).dropna().orderBy(item, item_text).toLocalIterator()
     ids, texts = [], []
     for row in rows:
         ids.append(row[0])
         texts.append(row[1])
         if len(ids) == BLOCK_ITEMS:
-            if block := prepare(ids, texts):
+            if block := prepare(ids, texts, least_words):
                 yield block
             ids, texts = [], []
-    if ids and (block := prepare(ids, texts)):
+    if ids and (block := prepare(ids, texts, least_words)):
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_words: int = MIN_ITEM_WORDS) -> DataFrame:
     """(key, item, n_item_words, edit_distance, similarity, start_word): every item held by
     every document."""
     schema = (
@@ -301,11 +389,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         return rows.mapInPandas(of, schema)
 
-    found = [search(block) for block in _blocks(benchmark, item, item_text)]
+    found = [search(block) for block in _blocks(benchmark, item, item_text, least_words)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = MIN_ITEM_WORDS) -> DataFrame:
     """``docs`` without the documents that hold an item of ``benchmark``."""
-    held = written(contaminated(docs, benchmark, key, text).select(key).distinct(), "contaminated")
+    held = written(contaminated(docs, benchmark, key, text, least_words=least_words).select(key).distinct(), "contaminated")
     return docs.join(held, key, "left_anti").select(*docs.columns)

@@ -259,6 +259,26 @@ def test_decontamination_finds_edited_items(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_decontamination_finds_long_edited_items():
+    """Items of 150 to 400 words with as many edits as are allowed, insertions and deletions too."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    for size in (150, 400):
+        texts = [rng.choices(vocabulary, k=size) for _ in range(30)]
+        items = decontamination.prepare(list(range(30)), [" ".join(t) for t in texts])
+        docs = []
+        for words in texts:
+            copy = list(words)
+            for place in sorted(rng.sample(range(size), int(0.2 * size) // 2), reverse=True):
+                kind = rng.randrange(3)
+                copy[place : place + (kind > 0)] = [rng.choice(vocabulary)] * (kind < 2)
+            for place in rng.sample(range(len(copy)), int(0.2 * size) - int(0.2 * size) // 2 - abs(len(copy) - size)):
+                copy[place] = rng.choice(vocabulary)
+            docs.append(" ".join(rng.choices(vocabulary, k=30) + copy + rng.choices(vocabulary, k=30)))
+        found = decontamination.find(docs, items)
+        assert set(zip(found["text"], found["item"])) == {(i, i) for i in range(30)}
+
+
 def test_edit_distances():
     rng = np.random.default_rng(3)
     left, right = rng.integers(0, 4, (200, 12)).astype(np.uint64), rng.integers(0, 4, (200, 12)).astype(np.uint64)
