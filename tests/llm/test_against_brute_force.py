@@ -279,6 +279,17 @@ def test_decontamination_finds_long_edited_items():
         assert set(zip(found["text"], found["item"])) == {(i, i) for i in range(30)}
 
 
+def test_short_and_unspaced_items_are_searched():
+    texts = ["what is the tallest peak of earth", "why", "世界で一番高い山はどこにありますか", "ภูเขาที่สูงที่สุดในโลกคืออะไร"]
+    items = decontamination.prepare(list("abcd"), texts, least_words=1)
+    docs = [
+        "Quiz: What is the tallest peak of Earth?", "what is the tallest hill of earth", "so, WHY not; why",
+        "問題、世界で一番高い山はどこにありますか。答え", "世界で一番高い川はどこにありますか", "世界で一番大きい", "ถาม ภูเขาที่สูงที่สุดในโลกคืออะไร ตอบ",
+    ]
+    found = decontamination.find(docs, items)
+    assert list(zip(found["text"], found["item"], found["distance"], found["start"])) == [(0, 0, 0, 1), (2, 1, 0, 1), (3, 2, 0, 2), (4, 2, 1, 0), (6, 3, 0, 3)]
+
+
 def test_edit_distances():
     rng = np.random.default_rng(3)
     left, right = rng.integers(0, 4, (200, 12)).astype(np.uint64), rng.integers(0, 4, (200, 12)).astype(np.uint64)
