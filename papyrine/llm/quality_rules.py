@@ -2,9 +2,10 @@
 
 The base rules are plain counts. Documents that pass them are judged by a modified
 Kneser-Ney character n-gram model of their language, counted by Spark over all
-documents (:mod:`papyrine.llm.kneser_ney`). A language's band of log perplexity
+distinct texts (:mod:`papyrine.llm.kneser_ney`). A language's band of log perplexity
 runs from its lower to its upper fence, quartile -/+ ``fence`` interquartile ranges
-of all its documents; documents outside it are rejected. The mean over a short text
+of all its distinct texts (by a 64-bit digest), so copies do not narrow it, and a range
+counts as ``LEAST_RANGE`` at least; documents outside the band are rejected. The mean over a short text
 scatters more, so below ``STEADY_WORDS`` words the fences stand wider by the root of
 the ratio. Characters, not words, are the units: their models are bounded whatever the corpus, and symbol runs, shouted
 or tabular text move character perplexity as much as word perplexity.
@@ -29,6 +30,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Interquartile ranges between a quartile and the end of the band.
 FENCE = 3.0
+#: The narrowest interquartile range of log perplexity; languages of ordinary texts have 0.03.
+LEAST_RANGE = 0.02
 #: Words from which a text's mean is taken as steady.
 STEADY_WORDS = 300
 
@@ -94,12 +97,12 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measure(docs: DataFrame, model: Model, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, the base counts, log_perplexity) of every document."""
+    """(key, lang, digest of the text, the base counts, log_perplexity) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
         model = shared.value
-        out = batch[[key]].assign(lang=batch["_lang"])
+        out = batch[[key]].assign(lang=batch["_lang"], _digest=batch["_digest"])
         counts = base_counts(batch["_text"].tolist())
         perplexity = np.full(len(batch), np.nan)
         for grp, rows in batch.reset_index(drop=True).groupby("_lang"):
@@ -107,30 +110,43 @@ def measure(docs: DataFrame, model: Model, key: str, text: str, lang: str) -> Da
             for a, b in text_blocks(texts):
                 sums, n = model.text_log_probs(texts[a:b], [grp])
                 perplexity[at[a:b]] = np.where(n > 0, -sums[:, 0] / np.maximum(n, 1), np.nan)
-        return out.assign(**{c: counts[c].to_numpy() for c in COUNTS}, log_perplexity=perplexity)
+        return out.assign(**{c: counts[c].to_numpy() for c in COUNTS}, log_perplexity=perplexity.round(6))
 
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(lang), F.lit("und")).alias("_lang"))
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
-    return scored(rows, [key, "_text", "_lang"], score, schema)
+    rows = rows.withColumn("_digest", F.xxhash64("_text"))
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang string, _digest long, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
+    return scored(rows, [key, "_text", "_lang", "_digest"], score, schema)
+
+
+def _once(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(_lang, _text) of ``docs`` with each text of a language once; rows with a null key stay."""
+    rows = docs.select(F.col(key).alias("_key"), "_lang", F.col(text).alias("_text")).withColumn("_digest", F.xxhash64("_text"))
+    narrow = rows.select("_key", "_lang", "_digest")
+    repeated = narrow.groupBy("_lang", "_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    copies = narrow.join(repeated, ["_lang", "_digest"]).filter("_key > _first").select("_key", "_digest")
+    return rows.join(written(copies, "copies"), ["_key", "_digest"], "left_anti").select("_lang", "_text")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE) -> DataFrame:
     """(key, base counts, log_perplexity, base_failed, kept) of every document."""
-    model = fit(docs.withColumn("_lang", F.coalesce(F.col(lang), F.lit("und"))), "_lang", text, "all", modified=True)
+    model = fit(_once(docs.withColumn("_lang", F.coalesce(F.col(lang), F.lit("und"))), key, text), "_lang", "_text", "all", modified=True)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     measured = written(measure(docs, model, key, text, lang).withColumn("base_failed", failed), "quality-rules")
     quartiles = (
         measured.filter(~F.col("base_failed"))
+        .groupBy("lang", "_digest")
+        .agg(F.min("log_perplexity").alias("log_perplexity"))
         .groupBy("lang")
         .agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
         .select(
-            "lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), (fence * (F.col("q")[1] - F.col("q")[0])).alias("room")
-        )
+            "lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"),
+            (fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_RANGE))).alias("room"),
+        )
     )
     room = F.col("room") * F.sqrt(F.greatest(F.lit(1.0), STEADY_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low") - room, F.col("high") + room)
     # one row a language: bounded by the model's number of groups
-    return measured.join(F.broadcast(quartiles), "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("low", "high", "room", "lang")
+    return measured.join(F.broadcast(quartiles), "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("low", "high", "room", "lang", "_digest")
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -119,6 +119,19 @@ def test_quality_rules_keep_good_documents(spark):
     assert np.mean([r.kept for r in found]) > 0.97
 
 
+def test_copies_do_not_change_verdicts(spark):
+    """One text fills 85 % of a language: it and the other documents fare as without the copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'")
+    rows = [tuple(r) for r in docs.orderBy("doc_id").limit(60).select("doc_id", "text", "lang").collect()]
+    alone = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    kept = next(r for r in rows if alone[r[0]].kept)
+    every = rows + [(10**9 + i, kept[1], "en") for i in range(340)]
+    random.Random(2).shuffle(every)
+    found = quality_rules.judge(spark.createDataFrame(every, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r for r in found if r.doc_id < 10**9} == alone
+    assert {(r.kept, r.log_perplexity) for r in found if r.doc_id >= 10**9} == {(True, alone[kept[0]].log_perplexity)}
+
+
 def sentences_of(text):
     """The operator's sentences, checked: they make up the text and end where they may."""
     p, _ = substring_dedup.pieces([text])
