@@ -1,11 +1,13 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences after ``.``, ``!`` and ``?`` and at line ends. Long sentences are cut
-further, after words that their own hash chooses (one of 16) and at ``MAX_WORDS`` words at the
-latest, so that the cuts of equal passages fall on equal words wherever the passages stand. Spans
-are runs of at least ``RUN`` consecutive sentences and ``MIN_WORDS`` words: from every sentence on
-the shortest, and up to every sentence the shortest. A passage of over 50 words thus holds spans
-that cover it but for a part of its first and last sentence. Spans are hashed (words in lower
+further: of every ``MAX_WORDS`` consecutive words of a sentence, after the one with the smallest
+hash. Where a cut falls is thus a matter of the ``MAX_WORDS`` words around it, wherever the passage
+stands. Spans are runs of at least ``RUN`` consecutive sentences and ``MIN_WORDS`` words: from every
+sentence on the shortest, and up to every sentence the shortest. All but the first and last
+``MAX_WORDS - 1`` words of a repeated passage are cut alike, at one word in ``MAX_WORDS`` at least,
+so any 51 words hold three sentences in common and lose 23 words or more; at most 14 stay at
+each end, none where the passage is made of whole sentences. Spans are hashed (words in lower
 case) and joined globally: the one in the document with the smallest key, and there the first, is
 the first; sentences under any other occurrence are removed, the rest of the text is kept
 character by character.
@@ -29,7 +31,7 @@ from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blo
 from papyrine.workspace import written
 
 RUN = 3
-MAX_WORDS = 16
+MAX_WORDS = 8
 MIN_WORDS = 12
 #: A span's sentences fit into four bits: it has RUN of them, or under MIN_WORDS words before the last.
 SPAN_BITS = 4
@@ -56,6 +58,22 @@ class Pieces:
     of_text: np.ndarray
 
 
+def _cut_long(hashes: np.ndarray, breaks: np.ndarray) -> None:
+    """Adds to the sentence ends ``breaks`` the word with the smallest hash (the last of equal
+    ones) of every ``MAX_WORDS`` consecutive words of a sentence."""
+    m = len(hashes) - MAX_WORDS + 1
+    if m <= 0:
+        return
+    sentence = np.concatenate(([0], np.cumsum(breaks[:-1])))
+    least, at = hashes[:m].copy(), np.zeros(m, np.int64)
+    for k in range(1, MAX_WORDS):
+        other = hashes[k : k + m]
+        smaller = other <= least
+        least[smaller], at[smaller] = other[smaller], k
+    whole = sentence[:m] == sentence[MAX_WORDS - 1 :]
+    breaks[(np.arange(m) + at)[whole]] = True
+
+
 def pieces(texts: list[str]) -> tuple[Pieces, np.ndarray]:
     """(sentences, first character of each text and the end) of a block of texts."""
     points, bounds = code_points(texts)
@@ -67,12 +85,10 @@ def pieces(texts: list[str]) -> tuple[Pieces, np.ndarray]:
         return Pieces(words, hashes, empty, empty, empty, np.zeros(len(texts) + 1, np.int64)), bounds
     last = points[words.ends - 1]
     lines = np.cumsum(points == 10)
-    breaks = (last == 46) | (last == 33) | (last == 63) | (hashes & U64(15) == 0)
+    breaks = (last == 46) | (last == 33) | (last == 63)
     breaks[:-1] |= (lines[words.starts[1:] - 1] > lines[words.ends[:-1] - 1]) | (text[1:] != text[:-1])
-    begins = np.concatenate(([True], breaks[:-1]))
-    index = np.arange(n)
-    since = index - np.maximum.accumulate(np.where(begins, index, 0))
-    first = np.flatnonzero(since % MAX_WORDS == 0)
+    _cut_long(hashes, breaks)
+    first = np.flatnonzero(np.concatenate(([True], breaks[:-1])))
     own = text[first]
     return Pieces(words, hashes, first, np.append(first[1:], n), own, np.searchsorted(own, np.arange(len(texts) + 1))), bounds
 

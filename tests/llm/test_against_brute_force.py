@@ -194,6 +194,19 @@ def test_a_passage_inside_sentences_goes(spark):
             assert left == set(passage) if r.doc_id == 0 else len(left) < 34
 
 
+def test_any_51_words_share_spans():
+    rng = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    for marks in (0, 0.05, 0.2):
+        for _ in range(150):
+            passage = [w + ("." if rng.random() < marks else "") for w in rng.choices(vocabulary, k=51)]
+            made = [" ".join(rng.choices(vocabulary, k=40) + passage + rng.choices(vocabulary, k=40)) for _ in range(2)]
+            one, other = (substring_dedup._spans([t]) for t in made)
+            gone = np.flatnonzero(np.isin(other[1], one[1]))
+            left = substring_dedup.kept_text(made[1], other[2][gone])[0].split()
+            assert 23 <= 131 - len(left) <= 51
+
+
 def test_near_duplicates(spark, texts):
     rng = random.Random(11)
     rows = dict(texts)
