@@ -16,11 +16,17 @@ pair misses all bands with probability 3e-5. Equal word sequences are collapsed
 so groups of exact copies are one member. A member is paired with the smallest members
 of its buckets, those that it meets in ``MEETINGS`` bands and the one that it meets most,
 not with all others; pairs are verified on the whole texts. Documents in buckets that
-still hold several components then get an exact join: two sets of similarity 0.8 share
-an element among the rarest that make up 0.2 of either one's weight, and what both hold
-from the first shared one on must reach the overlap asked for. So no link between
-components is missed among documents that share a bucket, and a passage that thousands
-of documents hold makes no pairs of them.
+still hold several components are looked at more closely: two sets of similarity 0.8
+share an element among the rarest that make up 0.2 of either one's weight, and what both
+hold from the first shared one on must reach the overlap asked for. In rounds, the members
+of such an element, one of every component, are each paired with the one that leaves most
+room for a partner and with their neighbour in the order of weights, so a round has no
+more than two pairs a member; a link that is found joins its components, and the rounds
+end when they find few. What is then left to test, members of different
+components that share a rare element, is tested pair by pair, split by Spark where an
+element is frequent. So no link between components is missed among documents that share a
+bucket: members of one component are never paired, and a passage that thousands of
+documents hold makes no pairs of them unless it makes up most of their weight.
 
 Null texts are never duplicates. Texts under five words are one shingle: only equal
 ones match. Empty texts equal each other. Rows that share a key are one document.
@@ -32,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blocks
@@ -47,6 +53,10 @@ COORDINATES = BANDS * ROWS
 MEETINGS = 3
 #: Sets of less weight match only equal sets: similarity 0.8 of different ones needs 5.
 LEAST_WEIGHT = 4
+#: Share of links among its pairs below which a round is the last. It decides about work, not results.
+FEW_LINKS = 0.1
+#: Members of an element, about, that one task puts in order; each round deals them out anew.
+CHUNK = 1_000
 
 
 def _slabs(limit: float) -> list[tuple[float, float]]:
@@ -126,12 +136,13 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     position = np.arange(n) - np.repeat(words.of_text[:-1], n_words)
     whole = position + SHINGLE <= n_words[text]
     alone = (position == 0) & (n_words[text] < SHINGLE)
-    if alone.any():  # a short text's only shingle is its words and their number
-        for i in np.flatnonzero(alone):
-            value = U64(int(n_words[text[i]]))
-            for h in hashes[i : i + n_words[text[i]]]:
-                value = mix(np.array([value + h]))[0]
-            rolled[i] = value
+    at = np.flatnonzero(alone)
+    if len(at):  # a short text's only shingle is its words and their number
+        size = n_words[text[at]]
+        value = size.astype(U64)
+        for k in range(SHINGLE - 1):
+            value = np.where(k < size, mix(value + hashes[np.minimum(at + k, n - 1)]), value)
+        rolled[at] = value
     keep = whole | alone
     text, rolled = text[keep], rolled[keep]
     # one key for (text, shingle): the text's number on top of 44 bits of the shingle to sort by
@@ -200,43 +211,47 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(of, f"key {docs.schema[key].dataType.simpleString()}, d1 long, d2 long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _bodies(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(rep, body): the whole texts of ``members``, one row a key."""
+    bodies = docs.select(F.col(key).alias("rep"), F.col(text).alias("body")).join(members.select("rep").distinct(), "rep", "left_semi")
+    return written(bodies.groupBy("rep").agg(F.max("body").alias("body")), "candidate-texts")
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """(a, b, similarity) of every pair, from the whole texts."""
-    ends = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
-    bodies = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(ends, "_k", "left_semi")
-    bodies = written(bodies.groupBy("_k").agg(F.max("_t").alias("_t")), "candidate-texts")
     similarity = F.pandas_udf(lambda x, y: pd.Series(similarities(x.tolist(), y.tolist())), "double")
     joined = pairs.join(bodies.toDF("a", "ta"), "a").join(bodies.toDF("b", "tb"), "b")
     return written(joined.select("a", "b", similarity("ta", "tb").alias("similarity")), "similarities")
 
 
-def _components_of(links: DataFrame) -> DataFrame:
-    return connected_components(links.filter(F.col("similarity") >= THRESHOLD))
+def _linked(tested: DataFrame) -> DataFrame:
+    return tested.filter(F.col("similarity") >= THRESHOLD)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, n_links) of every document: the smallest key of its class, and how many
-    verified links its word sequence has. Rows with a null key are left out."""
+    """(key, class_id, n_links) of every document: the smallest key of its class, and the number of
+    links of its word sequence that were verified on the way to the class (not all that it has).
+    Rows with a null key are left out."""
     sketch = written(_sketch(docs, key, text), "sketches")
     classes = written(sketch.groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
     # a hash holds its band's number, so buckets of different bands never meet
     banded = classes.filter("bands is not null").select("rep", F.explode("bands").alias("hash"))
     ends = banded.groupBy("hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("hash", "low")
     # documents in a bucket with another document, and the bucket's smallest one
-    buckets = written(banded.join(ends, "hash"), "buckets")
+    buckets = written(banded.join(written(ends, "bucket-ends"), "hash"), "buckets")
+    bodies = _bodies(buckets, docs, key, text)
     meetings = buckets.filter("low <> rep").groupBy("rep", "low").agg(F.count("*").alias("n"))
     most = meetings.groupBy("rep").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
     often = meetings.filter(F.col("n") >= MEETINGS).select("rep", "low")
     pairs = often.union(most.select("rep", "low")).distinct().select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    tested = _verified(pairs, docs, key, text)
-    roots = _components_of(tested)
-    labelled = buckets.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    tested = _verified(pairs, bodies)
+    labels = connected_components(_linked(tested)).toDF("rep", "root")
+    labelled = buckets.join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     spread = labelled.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("hash")
     mixed = written(labelled.join(spread, "hash").groupBy("rep").agg(F.min("root").alias("root")), "mixed-documents")
-    more = _verified(_rare_pairs(mixed, docs, key, text).join(tested, ["a", "b"], "left_anti"), docs, key, text)
-    tested = tested.unionByName(more)
-    roots = _components_of(tested)
-    links = tested.filter(F.col("similarity") >= THRESHOLD)
+    tested = _between_components(mixed, tested, bodies)
+    links = _linked(tested)
+    roots = connected_components(links)
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     of_class = classes.select("d1", "d2", "rep").join(roots.toDF("rep", "root"), "rep", "left").join(degree, "rep", "left")
     of_class = of_class.select("d1", "d2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -246,29 +261,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return found.unionByName(without).withColumnRenamed("key", key)
 
 
-def _weighted_shingles(mixed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(rep, root, shingle, weight, total) of every shingle of the given documents."""
-    bodies = docs.select(F.col(key).alias("rep"), F.col(text).alias("_t")).join(mixed, "rep").groupBy("rep", "root").agg(F.max("_t").alias("_t"))
+def _weighted_shingles(mixed: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(rep, shingle, weight, total) of every shingle of the given documents."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["_t"].tolist()
+            texts = batch["body"].tolist()
             for a, b in text_blocks(texts):
                 owner, elements, counts = shingles(texts[a:b])
                 total = np.bincount(owner, counts, b - a)
-                part = batch.iloc[a + owner]
-                yield pd.DataFrame(
-                    {"rep": part["rep"].to_numpy(), "root": part["root"].to_numpy(), "shingle": elements.view(np.int64), "weight": counts.astype(float), "total": total[owner]}
-                )
+                keys = batch["rep"].to_numpy()[a + owner]
+                yield pd.DataFrame({"rep": keys, "shingle": elements.view(np.int64), "weight": counts.astype(float), "total": total[owner]})
 
     kind = mixed.schema["rep"].dataType.simpleString()
-    return bodies.mapInPandas(of, f"rep {kind}, root {kind}, shingle long, weight double, total double")
+    return bodies.join(mixed.select("rep"), "rep", "left_semi").mapInPandas(of, f"rep {kind}, shingle long, weight double, total double")
 
 
-def _rare_pairs(mixed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b) of documents in different components that may be linked: they share an element of
-    their rarest fifth, and the rests from there on are large enough."""
-    every = written(_weighted_shingles(mixed, docs, key, text), "shingles")
+def _rare_elements(mixed: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(shingle, df, rep, total, rest): the elements of each document's rarest fifth that another document
+    has too, how many have it, and the weight of the document from there on, in the order of rareness."""
+    every = written(_weighted_shingles(mixed, bodies), "shingles")
     frequency = every.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     shared = every.join(frequency, "shingle")
     # elements of one document; those held by no other come first and are not rows here
@@ -276,11 +288,51 @@ def _rare_pairs(mixed: DataFrame, docs: DataFrame, key: str, text: str) -> DataF
     own = Window.partitionBy("rep")
     before = F.col("total") - F.sum("weight").over(own) + F.coalesce(F.sum("weight").over(rarest), F.lit(0.0))
     prefix = shared.withColumn("before", before).filter(F.col("before") <= (1 - THRESHOLD) * F.col("total") + 1e-6)
-    prefix = written(prefix.select("shingle", "rep", "root", "total", (F.col("total") - F.col("before")).alias("rest")), "rare-elements")
-    left, right = prefix.alias("l"), prefix.alias("r")
-    enough = F.least("l.rest", "r.rest") >= THRESHOLD / (1 + THRESHOLD) * (F.col("l.total") + F.col("r.total")) - 1e-6
-    joined = left.join(right, F.expr("l.shingle = r.shingle and l.rep < r.rep and l.root <> r.root") & enough)
-    return joined.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    return written(prefix.select("shingle", "df", "rep", "total", (F.col("total") - F.col("before")).alias("rest")), "rare-elements")
+
+
+def _enough(left: str, right: str) -> Column:
+    """Whether what two documents hold from a shared element on can make up a link."""
+    total = F.col(f"{left}.total") + F.col(f"{right}.total")
+    return F.least(f"{left}.rest", f"{right}.rest") >= THRESHOLD / (1 + THRESHOLD) * total - 1e-6
+
+
+def _between_components(mixed: DataFrame, tested: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``tested`` and the pairs tested between the components of ``mixed`` (rep, root)."""
+    rare = _rare_elements(mixed, bodies)
+    ordered = [F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")]
+    turn = 0
+    while True:
+        # one member of every component that an element has: at first the one with the most room for
+        # a partner's weight, later any
+        room = (1 + THRESHOLD) / THRESHOLD * F.col("rest") - F.col("total")
+        choice = -room if turn == 0 else F.xxhash64("rep", F.lit(turn))
+        member = F.struct("rep", "root", "total", "rest", "df", room.alias("room"))
+        one = rare.join(mixed, "rep").groupBy("shingle", "root").agg(F.min_by(member, F.struct(choice, "rep")).alias("m"))
+        one = written(one.select("shingle", "m.*", F.pmod(F.xxhash64("root", F.lit(turn)), F.ceil(F.col("m.df") / CHUNK)).alias("chunk")), "members")
+        # it meets the element's member with the most room, and the next of about its own weight
+        roomy = one.groupBy("shingle").agg(F.max_by(F.struct("rep", "root", "total", "rest"), F.struct("room", "rep")).alias("r"), F.count("*").alias("n"))
+        roomy = written(roomy.filter("n > 1").select("shingle", "r"), "roomy-members")
+        own = F.struct("rep", "root", "total", "rest").alias("l")
+        beside = Window.partitionBy("shingle", "chunk").orderBy("total", "rep")
+        met = one.join(roomy, "shingle").select(own, "r").filter("l.root <> r.root")
+        met = met.unionByName(one.filter("room >= total").select(own, F.lag(F.struct("rep", "root", "total", "rest")).over(beside).alias("r"))).filter(_enough("l", "r"))
+        more = _verified(met.select(*ordered).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), bodies)
+        tested = tested.unionByName(more)
+        tried, found = more.agg(F.count("*"), F.count_if(F.col("similarity") >= THRESHOLD)).first()
+        if found:
+            ends = mixed.select("rep", "root")
+            joined = _linked(more).join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            moved = connected_components(joined).toDF("root", "new")
+            mixed = written(mixed.join(moved, "root", "left").select("rep", F.coalesce("new", "root").alias("root")), "mixed-documents")
+        turn += 1
+        if found <= FEW_LINKS * tried:
+            break
+    labelled = rare.join(mixed, "rep")
+    left, right = labelled.alias("l"), labelled.alias("r")
+    rest = left.join(right, F.expr("l.shingle = r.shingle and l.rep < r.rep and l.root <> r.root") & _enough("l", "r"))
+    rest = rest.select(*ordered).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return tested.unionByName(_verified(rest, bodies))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
