@@ -7,8 +7,8 @@ runs from its lower to its upper fence, quartile -/+ ``fence`` interquartile ran
 of all its distinct texts (by a 64-bit digest), so copies do not narrow it, and a range
 counts as ``LEAST_RANGE`` at least; documents outside the band are rejected. The mean over a short text
 scatters more, so below ``STEADY_WORDS`` words the fences stand wider by the root of
-the ratio. Characters, not words, are the units: their models are bounded whatever the corpus, and symbol runs, shouted
-or tabular text move character perplexity as much as word perplexity.
+the ratio. Characters, not words, are the units: symbol runs, shouted or tabular text move
+character perplexity as much as word perplexity, and scripts without blanks have no words.
 
 Null texts count as empty: zero words, so the base rules reject them. A null
 language is the language ``und``. Equal documents get equal verdicts.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blocks
-from papyrine.llm.kneser_ney import Model, fit, scored
+from papyrine.llm.kneser_ney import count_ngrams, judged_blocks, model_of
 from papyrine.workspace import written
 
 SYMBOLS = "#*$%&|<>"
@@ -96,31 +96,24 @@ def base_counts(texts: list[str]) -> pd.DataFrame:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, model: Model, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, digest of the text, the base counts, log_perplexity) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def measure(docs: DataFrame, logs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(key, lang, digest of the text, the base counts, log_perplexity) of every document; ``logs``
+    holds the log probabilities of its n-grams."""
 
-    def score(batch: pd.DataFrame) -> pd.DataFrame:
-        model = shared.value
-        out = batch[[key]].assign(lang=batch["_lang"], _digest=batch["_digest"])
-        counts = base_counts(batch["_text"].tolist())
-        perplexity = np.full(len(batch), np.nan)
-        for grp, rows in batch.reset_index(drop=True).groupby("_lang"):
-            texts, at = rows["_text"].tolist(), rows.index.to_numpy()
-            for a, b in text_blocks(texts):
-                sums, n = model.text_log_probs(texts[a:b], [grp])
-                perplexity[at[a:b]] = np.where(n > 0, -sums[:, 0] / np.maximum(n, 1), np.nan)
-        return out.assign(**{c: counts[c].to_numpy() for c in COUNTS}, log_perplexity=perplexity.round(6))
+    def judge(part: pd.DataFrame, texts: list[str], sums: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        counts = base_counts(texts)
+        perplexity = np.where(n > 0, -sums[:, 0] / np.maximum(n, 1), np.nan).round(6)
+        return part.assign(**{c: counts[c].to_numpy() for c in COUNTS}, log_perplexity=perplexity)
 
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(lang), F.lit("und")).alias("_lang"))
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     rows = rows.withColumn("_digest", F.xxhash64("_text"))
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang string, _digest long, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
-    return scored(rows, [key, "_text", "_lang", "_digest"], score, schema)
+    return judged_blocks(rows, [key, "lang", "_digest"], "_text", "lang", "all", logs, judge, schema)
 
 
 def _once(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(_lang, _text) of ``docs`` with each text of a language once; rows with a null key stay."""
-    rows = docs.select(F.col(key).alias("_key"), "_lang", F.col(text).alias("_text")).withColumn("_digest", F.xxhash64("_text"))
+    rows = docs.select(F.col(key).alias("_key"), "_lang", F.col(text).alias("_text")).withColumn("_digest", F.md5("_text"))
     narrow = rows.select("_key", "_lang", "_digest")
     repeated = narrow.groupBy("_lang", "_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     copies = narrow.join(repeated, ["_lang", "_digest"]).filter("_key > _first").select("_key", "_digest")
@@ -129,9 +122,12 @@ def _once(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE) -> DataFrame:
     """(key, base counts, log_perplexity, base_failed, kept) of every document."""
-    model = fit(_once(docs.withColumn("_lang", F.coalesce(F.col(lang), F.lit("und"))), key, text), "_lang", "_text", "all", modified=True)
+    once = _once(docs.withColumn("_lang", F.coalesce(F.col(lang), F.lit("und"))), key, text)
+    grams = written(count_ngrams(once, "_lang", "_text", "all"), "ngram-counts")
+    # every n-gram of the texts is one that was counted
+    logs = written(model_of(grams, "all", modified=True).log_table(grams), "ngram-logs")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = written(measure(docs, model, key, text, lang).withColumn("base_failed", failed), "quality-rules")
+    measured = written(measure(docs, logs, key, text, lang).withColumn("base_failed", failed), "quality-rules")
     quartiles = (
         measured.filter(~F.col("base_failed"))
         .groupBy("lang", "_digest")
@@ -145,8 +141,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     )
     room = F.col("room") * F.sqrt(F.greatest(F.lit(1.0), STEADY_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low") - room, F.col("high") + room)
-    # one row a language: bounded by the model's number of groups
-    return measured.join(F.broadcast(quartiles), "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("low", "high", "room", "lang", "_digest")
+    # one row a language
+    return measured.join(quartiles, "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("low", "high", "room", "lang", "_digest")
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
