@@ -34,8 +34,8 @@ def _roles(docs: DataFrame, held_out: str, key: str, text: str, lang: str) -> Da
     """(key, held_out, _text, _lang, _counts): the languages of training rows, and whether a model counts them."""
     rows = docs.select(key, held_out, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.when(~F.col(held_out) & F.col(text).isNotNull(), F.col(lang)).alias("_lang"))
     digest = F.xxhash64("_text")
-    # one row a language
-    first = rows.filter("_lang is not null").groupBy("_lang").agg(F.min(digest).alias("_first"))
+    # one row a language; a written table, so Spark knows its size and need not shuffle the texts
+    first = written(rows.filter("_lang is not null").groupBy("_lang").agg(F.min(digest).alias("_first")), "first-texts")
     counts = F.col("_lang").isNotNull() & ((F.pmod(digest, F.lit(CALIBRATION)) != 0) | (digest == F.col("_first")))
     return rows.join(first, "_lang", "left").withColumn("_counts", F.coalesce(counts, F.lit(False))).drop("_first")
 
@@ -69,6 +69,7 @@ def reject(predicted: DataFrame, share: float = 0.999, slack: float = 1.05) -> D
         .groupBy("lang_pred")
         .agg((slack * F.percentile_approx("cross_entropy", share, 10_000)).alias("_limit"))
     )
+    limits = written(limits, "entropy-limits")
     accepted = (F.col("lang_pred") != UNDETERMINED) & F.coalesce(F.col("cross_entropy") <= F.col("_limit"), F.lit(True))
     return predicted.join(limits, "lang_pred", "left").withColumn("accepted", accepted).drop("_limit")
 

@@ -141,8 +141,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     )
     room = F.col("room") * F.sqrt(F.greatest(F.lit(1.0), STEADY_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low") - room, F.col("high") + room)
-    # one row a language
-    return measured.join(quartiles, "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("low", "high", "room", "lang", "_digest")
+    # one row a language; a written table, so Spark knows its size
+    return measured.join(written(quartiles, "perplexity-bands"), "lang", "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("low", "high", "room", "lang", "_digest")
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
