@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.llm.hot_keys import hot_keys, split_join
 from papyrine.workspace import exists, written
 
 #: Counts of pieces that a task keeps; it starts afresh beyond.
@@ -114,7 +115,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, key: str = "doc_i
     content = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(content, 256))
     keys = written(docs.select(key, digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "text-digests")
-    misses = keys.select("digest").distinct()
+    own = written(keys.groupBy("digest").agg(F.count("*").alias("n")), "distinct-digests")
+    misses = own.select("digest")
     if exists(spark, folder):
         misses = misses.join(spark.read.schema("digest binary, n_tokens long").parquet(folder), "digest", "left_anti")
     misses = written(misses, "missing-digests")
@@ -132,6 +134,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, key: str = "doc_i
         once.mapInPandas(encode, "digest binary, n_tokens long").write.mode("append").parquet(folder)
     if not exists(spark, folder):  # no texts and nothing cached yet
         return keys.select(key, "n_bytes", F.lit(0).cast("long").alias("n_tokens"))
-    # two runs may have appended the same digest; the count is the same
-    counts = spark.read.schema("digest binary, n_tokens long").parquet(folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keys.join(counts, "digest").select(key, "n_bytes", "n_tokens")
+    # of the cache, only this run's digests; two runs may have appended the same one with the same count
+    cached = spark.read.schema("digest binary, n_tokens long").parquet(folder).join(own, "digest", "left_semi")
+    counts = cached.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    hot = hot_keys(own, "digest", "n", keys.count())
+    return split_join(keys, counts, "digest", hot).select(key, "n_bytes", "n_tokens")
