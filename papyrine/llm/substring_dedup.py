@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blocks
+from papyrine.llm.hot_keys import hot_keys, split_join
 from papyrine.workspace import written
 
 RUN = 3
@@ -138,9 +139,10 @@ def spans(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans, first_docs): for every document with a non-first span, those spans and the
     documents that hold the first occurrences."""
-    every = spans(docs, key, text)
-    repeated = every.groupBy("run").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("run", "_first")
-    later = every.join(repeated, "run").filter(F.col("again") | (F.col(key) > F.col("_first")))
+    every = written(spans(docs, key, text), "spans")
+    repeated = written(every.groupBy("run").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).filter("_n > 1"), "repeated-runs")
+    hot = hot_keys(repeated, "run", "_n", every.count())
+    later = split_join(every, repeated.select("run", "_first"), "run", hot).filter(F.col("again") | (F.col(key) > F.col("_first")))
     # the spans of one document: no larger than its text
     return later.groupBy(key).agg(F.collect_set("span").alias("spans"), F.sort_array(F.collect_set("_first")).alias("first_docs"))
 
