@@ -129,7 +129,7 @@ counts AS (SELECT source, k, count(*) AS pages FROM (SELECT DISTINCT doc_id, sou
 totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
 boilerplate AS (
   SELECT c.source, c.k FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.pages >= 5 AND c.pages > 0.1 * t.host_pages
+  WHERE c.pages >= 2 AND c.pages > 0.1 * t.host_pages
 ), judged AS (
   SELECT k.*, b.k IS NOT NULL AS gone FROM k LEFT JOIN boilerplate b ON k.source IS NOT DISTINCT FROM b.source AND k.k = b.k
 )
