@@ -28,7 +28,7 @@ likely. Rows with the same text get the same rate.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -139,14 +139,26 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], key: str
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
     """(key, n_tokens, posterior array<double>) of every document; tokens are words."""
+    return _scored(docs, _scorer(docs, labels, domains, key, text, domain), key, text)
+
+
+def _scorer(docs: DataFrame, labels: DataFrame, domains: list[str], key: str, text: str, domain: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to (posteriors, tokens), for tasks."""
     telling, weights, intercept = fit_domains(docs, labels, domains, key, text, domain)
     shared = docs.sparkSession.sparkContext.broadcast((telling, weights.astype(np.float32), intercept))
 
-    def score(batch: pd.DataFrame) -> pd.DataFrame:
-        starts, places, n_words = hashed_features(batch["_text"].tolist())
+    def score(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        starts, places, n_words = hashed_features(texts)
         telling, weights, intercept = shared.value
-        margins = _margins(weights, intercept, *_kept(telling, starts, places))
-        return pd.DataFrame({key: batch[key], "n_tokens": n_words, "posterior": list(_softmax(margins))})
+        return _softmax(_margins(weights, intercept, *_kept(telling, starts, places))), n_words
+
+    return score
+
+
+def _scored(docs: DataFrame, scorer: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], key: str, text: str) -> DataFrame:
+    def score(batch: pd.DataFrame) -> pd.DataFrame:
+        p, n_words = scorer(batch["_text"].tolist())
+        return pd.DataFrame({key: batch[key], "n_tokens": n_words, "posterior": list(p)})
 
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return scored(rows, [key, "_text"], score, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, posterior array<double>")
@@ -222,12 +234,16 @@ def fit_rates(measured: DataFrame, targets: np.ndarray) -> tuple[list[tuple[floa
         history.append((run / (run + 3), step * weight * (pointed - targets)))
 
 
+def _fitted(measured: DataFrame, targets: dict[str, float]) -> list[tuple[float, np.ndarray]]:
+    history, residual = fit_rates(measured, np.array(list(targets.values())) / sum(targets.values()))
+    if residual >= TOLERANCE:
+        warnings.warn(f"no rates meet the targets: the nearest leave a domain's share of tokens off by {residual:.2g}", stacklevel=3)
+    return history
+
+
 def with_rates(measured: DataFrame, targets: dict[str, float], key: str = "doc_id") -> DataFrame:
     """``measured`` (from :func:`posteriors`, domains in the order of ``targets``) with ``rate``."""
-    shares = np.array(list(targets.values())) / sum(targets.values())
-    history, residual = fit_rates(measured, shares)
-    if residual >= TOLERANCE:
-        warnings.warn(f"no rates meet the targets: the nearest leave a domain's share of tokens off by {residual:.2g}", stacklevel=2)
+    history = _fitted(measured, targets)
 
     def rates(batch: pd.DataFrame) -> pd.DataFrame:
         return batch.assign(rate=_replayed(_shares(batch)[0], history)[0])
@@ -240,3 +256,20 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """(key, n_tokens, posterior, rate) of every document, for token shares ``targets``."""
     measured = written(posteriors(docs, labels, list(targets), key, text, domain), "posteriors")
     return with_rates(measured, targets, key)
+
+
+def rated_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain") -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``rate``, which take the place of columns so named. Every row gets
+    the rate of its own text, whatever its key; texts are read again instead of being shuffled."""
+    scorer = _scorer(docs, labels, list(targets), key, text, domain)
+    history = _fitted(written(_scored(docs, scorer, key, text), "posteriors"), targets)
+
+    @F.pandas_udf("n_tokens long, rate double")
+    def rated(texts: pd.Series) -> pd.DataFrame:
+        p, n_words = scorer(texts.tolist())
+        return pd.DataFrame({"n_tokens": n_words, "rate": _replayed(p * (n_words > 0)[:, None], history)[0]})
+
+    own = [c for c in docs.columns if c not in ("n_tokens", "rate")]
+    rows = docs.select(F.struct(*own).alias("_row"))  # the table's names cannot clash with those used here
+    rows = rows.withColumn("_rated", rated(F.coalesce(F.col("_row")[text], F.lit(""))))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in own], "_rated.n_tokens", "_rated.rate")
