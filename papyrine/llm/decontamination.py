@@ -12,14 +12,16 @@ and digits in lower case; in scripts without blanks every character is one.
 2. CGK embedding: a random walk over a window repeats or passes on each word by a hash
    of step and word, which maps edit distance to Hamming distance. Windows whose
    sampled places of the embedding agree with an item's in one of several repetitions
-   are verified first. The number of repetitions is fitted: random edits of the items,
-   as many as are allowed, are to be found at the rate ``RECALL``.
+   are verified first. The number of repetitions is fitted for each class of item lengths:
+   random edits of the items, as many as are allowed, are to be found at the rate ``RECALL``;
+   where ``MAX_REPETITIONS`` do not reach it, more windows are left to step 3.
 3. Verification by the exact edit distance. It goes on to every window that no repetition
    found, unless the words it lacks alone make it farther than one that was found, so
    what is reported does not depend on the embedding.
 
-Items go to the tasks in blocks of ``BLOCK_ITEMS``; each block is one pass over the
-documents, without a shuffle. Items under ``least_words`` words are left out (with 1,
+Items go to the tasks in blocks of about ``BLOCK_WORDS`` words; each block is one pass over the
+documents, without a shuffle. In a block, items stand by classes of length, powers of two, so
+a long one does not widen the arrays of the others. Items under ``least_words`` words are left out (with 1,
 those without any word), as are null items; null texts hold nothing. Equal items are reported each. Of several windows the closest
 counts, then the first.
 """
@@ -45,7 +47,8 @@ RECALL = 0.99
 EDITED_WORDS = 8
 #: Words of an item from which it is searched, unless the caller says otherwise (the queries search every item).
 MIN_ITEM_WORDS = 8
-BLOCK_ITEMS = 20_000
+#: Words, padded, of the items that are searched in one pass.
+BLOCK_WORDS = 1 << 22
 WALKS = 4
 #: Places of the embedding that must agree in one repetition.
 SAMPLED = 6
@@ -178,8 +181,10 @@ def _hashes(words: np.ndarray, lengths: np.ndarray, repetitions: int) -> Iterato
 def _fitted_repetitions(words: np.ndarray, lengths: np.ndarray) -> int:
     """Repetitions that find randomly edited items at the rate ``RECALL``."""
     rng = np.random.default_rng(7)
-    pick = rng.integers(0, len(words), 400)
-    edited, n = np.zeros((400, words.shape[1]), U64), lengths[pick]
+    # fewer draws where verifying one takes long
+    draws = int(np.clip(10 * CELLS // words.shape[1] ** 2, 4, 400))
+    pick = rng.integers(0, len(words), draws)
+    edited, n = np.zeros((draws, words.shape[1]), U64), lengths[pick]
     for i, p in enumerate(pick):
         row = list(words[p, : lengths[p]])
         for _ in range(int(allowed_edits(lengths[p : p + 1])[0])):
@@ -190,7 +195,7 @@ def _fitted_repetitions(words: np.ndarray, lengths: np.ndarray) -> int:
     near = edit_distances(edited, words[pick], n) <= allowed_edits(n)
     if not near.any():
         return MAX_REPETITIONS
-    met = np.zeros((MAX_REPETITIONS, 400), bool)
+    met = np.zeros((MAX_REPETITIONS, draws), bool)
     originals = dict(_hashes(words[pick], n, MAX_REPETITIONS))
     for repetition, own in _hashes(edited, n, MAX_REPETITIONS):
         met[repetition] = own == originals[repetition]
@@ -254,11 +259,11 @@ def _last(*columns: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _seeded(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _seeded(hashes: np.ndarray, bounds: np.ndarray, items: Items, found_runs: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(item, first and last start of the windows around a shared run) of a block of texts."""
     text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for q, (runs, own, offsets) in items.seeds.items():
-        found = _runs(hashes, q)
+        found = found_runs[q] = found_runs[q] if q in found_runs else _runs(hashes, q)
         if not len(found):
             continue
         inside = text_of[: len(found)] == text_of[q - 1 :]
@@ -283,11 +288,11 @@ def _seeded(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tu
             yield item[~again], first[~again], last[~again]
 
 
-def _windows(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(hashes: np.ndarray, bounds: np.ndarray, items: Items, found_runs: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, start, least distance) of the distinct windows of a block of texts that have a run
     and enough words of an item."""
     parts = [np.empty((3, 0), np.int64)]
-    for item, first, last in _seeded(hashes, bounds, items):
+    for item, first, last in _seeded(hashes, bounds, items, found_runs):
         n = items.lengths[item]
         wide = np.argsort(last - first + n, kind="stable")
         item, first, last, n = item[wide], first[wide], last[wide], n[wide]
@@ -309,54 +314,67 @@ def _windows(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.n
     return item[kept], start[kept], least[kept]
 
 
-def find(texts: list[str], items: Items) -> pd.DataFrame:
-    """(text, item, distance, start): every item held by every text."""
-    parts = []
+def find(texts: list[str], *groups: Items) -> pd.DataFrame:
+    """(text, item, distance, start): every item held by every text; items are numbered through the groups."""
+    parts = [pd.DataFrame({"text": [], "item": [], "distance": [], "start": []}).astype("int64")]
     for a, b in text_blocks(texts):
         hashes, bounds = _words(texts[a:b])
-        item, start, least = _windows(hashes, bounds, items)
-        order = np.argsort(items.lengths[item], kind="stable")
-        item, start, least = item[order], start[order], least[order]
-        text, n = np.searchsorted(bounds, start, "right") - 1, items.lengths[item]
-        _, pair = np.unique(item * len(texts) + text, return_inverse=True)
-        closest, distance = allowed_edits(n[np.unique(pair, return_index=True)[1]]), np.full(len(item), -1)
-
-        def words(part: np.ndarray) -> np.ndarray:
-            inside = np.arange(n[part].max()) < (bounds[text[part] + 1] - start[part])[:, None]
-            return np.where(inside, _matrix(hashes, start[part], n[part]), U64(0))
-
-        def verify(rows: np.ndarray) -> None:
-            for part in _slices(n[rows], CELLS):
-                own = rows[part]
-                left = words(own)
-                distance[own] = edit_distances(left, items.words[item[own], : left.shape[1]], n[own])
-                np.minimum.at(closest, pair[own], distance[own])
-
-        met = np.zeros(len(item), bool)
-        for part in _slices(n, CELLS // 4):
-            for repetition, own in _hashes(words(np.arange(len(n))[part]), n[part], len(items.samples)):
-                met[part] |= own == items.samples[repetition, item[part]]
-        verify(np.flatnonzero(met))
-        verify(np.flatnonzero(~met & (least <= closest[pair])))
-        good = (distance >= 0) & (distance <= allowed_edits(n))
-        parts.append(pd.DataFrame({"text": text[good] + a, "item": item[good], "distance": distance[good], "start": (start - bounds[text])[good]}))
-    if not parts:
-        return pd.DataFrame({"text": [], "item": [], "distance": [], "start": []}).astype("int64")
+        found_runs: dict[int, np.ndarray] = {}
+        before = 0
+        for items in groups:
+            found = _found_in_block(hashes, bounds, items, found_runs)
+            parts.append(found.assign(text=found["text"] + a, item=found["item"] + before))
+            before += len(items.ids)
     return pd.concat(parts).sort_values(["text", "item", "distance", "start"]).drop_duplicates(["text", "item"])
 
 
-def _blocks(benchmark: DataFrame, item: str, item_text: str, least_words: int) -> Iterator[Items]:
-    rows = benchmark.select(item, item_text).dropna().orderBy(item, item_text).toLocalIterator()
-    ids, texts = [], []
-    for row in rows:
+def _found_in_block(hashes: np.ndarray, bounds: np.ndarray, items: Items, found_runs: dict[int, np.ndarray]) -> pd.DataFrame:
+    item, start, least = _windows(hashes, bounds, items, found_runs)
+    order = np.argsort(items.lengths[item], kind="stable")
+    item, start, least = item[order], start[order], least[order]
+    text, n = np.searchsorted(bounds, start, "right") - 1, items.lengths[item]
+    _, pair = np.unique(item * len(bounds) + text, return_inverse=True)
+    closest, distance = allowed_edits(n[np.unique(pair, return_index=True)[1]]), np.full(len(item), -1)
+
+    def words(part: np.ndarray) -> np.ndarray:
+        inside = np.arange(n[part].max()) < (bounds[text[part] + 1] - start[part])[:, None]
+        return np.where(inside, _matrix(hashes, start[part], n[part]), U64(0))
+
+    def verify(rows: np.ndarray) -> None:
+        for part in _slices(n[rows], CELLS):
+            own = rows[part]
+            left = words(own)
+            distance[own] = edit_distances(left, items.words[item[own], : left.shape[1]], n[own])
+            np.minimum.at(closest, pair[own], distance[own])
+
+    met = np.zeros(len(item), bool)
+    for part in _slices(n, CELLS // 4):
+        for repetition, own in _hashes(words(np.arange(len(n))[part]), n[part], len(items.samples)):
+            met[part] |= own == items.samples[repetition, item[part]]
+    verify(np.flatnonzero(met))
+    verify(np.flatnonzero(~met & (least <= closest[pair])))
+    good = (distance >= 0) & (distance <= allowed_edits(n))
+    return pd.DataFrame({"text": text[good], "item": item[good], "distance": distance[good], "start": (start - bounds[text])[good]})
+
+
+def _blocks(benchmark: DataFrame, item: str, item_text: str, least_words: int) -> Iterator[list[Items]]:
+    """Groups of items, one a class of lengths, with about ``BLOCK_WORDS`` words together."""
+    classes: dict[int, tuple[list, list[str]]] = {}
+    held = 0
+    for row in benchmark.select(item, item_text).dropna().orderBy(item, item_text).toLocalIterator():
+        length = len(_words([row[1]])[0])
+        ids, texts = classes.setdefault(length.bit_length(), ([], []))
         ids.append(row[0])
         texts.append(row[1])
-        if len(ids) == BLOCK_ITEMS:
-            if block := prepare(ids, texts, least_words):
-                yield block
-            ids, texts = [], []
-    if ids and (block := prepare(ids, texts, least_words)):
-        yield block
+        held += 1 << length.bit_length()
+        if held >= BLOCK_WORDS:
+            yield _prepared(classes, least_words)
+            classes, held = {}, 0
+    yield _prepared(classes, least_words)
+
+
+def _prepared(classes: dict[int, tuple[list, list[str]]], least_words: int) -> list[Items]:
+    return [x for _, (ids, texts) in sorted(classes.items()) if (x := prepare(ids, texts, least_words))]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_words: int = MIN_ITEM_WORDS) -> DataFrame:
@@ -368,18 +386,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     )
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_text is not null")
 
-    def search(block: Items) -> DataFrame:
+    def search(block: list[Items]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            items = shared.value
+            groups = shared.value
+            ids, lengths = [i for x in groups for i in x.ids], np.concatenate([x.lengths for x in groups])
             for batch in batches:
-                found = find(batch["_text"].tolist(), items)
-                n = items.lengths[found["item"].to_numpy(np.int64)]
+                found = find(batch["_text"].tolist(), *groups)
+                n = lengths[found["item"].to_numpy(np.int64)]
                 yield pd.DataFrame(
                     {
                         key: batch["_key"].to_numpy()[found["text"].to_numpy(np.int64)],
-                        item: [items.ids[i] for i in found["item"]],
+                        item: [ids[i] for i in found["item"]],
                         "n_item_words": n,
                         "edit_distance": found["distance"].to_numpy(),
                         "similarity": 1 - found["distance"].to_numpy() / n,
@@ -389,7 +408,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         return rows.mapInPandas(of, schema)
 
-    found = [search(block) for block in _blocks(benchmark, item, item_text, least_words)]
+    found = [search(block) for block in _blocks(benchmark, item, item_text, least_words) if block]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
