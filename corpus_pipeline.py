@@ -38,9 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their tokens and the rate at which to draw them."""
-    rates = mixing.mix_to_targets(docs, domain_labels(spark, sf_dir), DOMAIN_TARGETS)
-    one = rates.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"), F.max("rate").alias("rate"))
-    return docs.join(one, "doc_id", "left").select(*docs.columns, "n_tokens", "rate")
+    return mixing.rated_documents(docs, domain_labels(spark, sf_dir), DOMAIN_TARGETS)
 
 
 STAGES = [
