@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.names import email
+from papyrine.streaming.fold import State, batch_fold
 
 
 def request_mode(auth: Column, has_key: Column, unlimited: Column, used: Column, cap: Column) -> Column:
@@ -91,9 +94,14 @@ def without_user(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
 
 def throttled_last_seen(events: DataFrame, seconds: int = 60) -> DataFrame:
     """The visits (user_id, at) that rewrite ``last_seen``: each at least a minute after the last
-    that did; a fold over one user's visits in order."""
-    at = F.unix_micros("at")
-    visits = events.groupBy("user_id").agg(F.array_sort(F.collect_list(at)).alias("v"))
-    zero = F.array().cast("array<bigint>")
-    step = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.try_element_at(kept, F.lit(-1)) >= seconds * 1_000_000), F.concat(kept, F.array(x))).otherwise(kept)
-    return visits.select("user_id", F.explode(F.aggregate("v", zero, step)).alias("_us")).select("user_id", F.timestamp_micros("_us").alias("written_at"))
+    that did; a fold over one user's visits in order, which keeps the last one alone."""
+
+    def visit(state: State, event: dict[str, Any]) -> tuple[State, list[dict[str, Any]]]:
+        if state["last"] is not None and event["us"] - state["last"] < seconds * 1_000_000:
+            return state, []
+        return {"last": event["us"]}, [{"us": event["us"]}]
+
+    visits = events.select("user_id", F.unix_micros("at").alias("us")).filter("us is not null")
+    schema = f"user_id {events.schema['user_id'].dataType.simpleString()}, us long"
+    kept = batch_fold(visits, "user_id", ["us"], lambda: {"last": None}, visit, schema)
+    return kept.select("user_id", F.timestamp_micros("us").alias("written_at"))

@@ -66,7 +66,7 @@ def merged(records: DataFrame, page: str = "page_id") -> DataFrame:
             F.concat(state["warnings"], F.when(stranger, ignored).otherwise(told)).alias("warnings"),
         )
 
-    rest = F.slice("r", 2, 1_000_000)
+    rest = F.slice("r", 2, F.size("r"))
     # array_distinct keeps the first of equal warnings
     return pages.select(page, F.aggregate(rest, start, step).alias("m")).select(page, "m.document_type", "m.fields", "m.mrz_lines", "m.notes", F.array_distinct("m.warnings").alias("warnings"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.identifiers import SAFE_INTEGER, number_of_digits
 from papyrine.functions.names import holds_phrase, name_matches, normalized_name, tokens_of
+from papyrine.workspace import written
 
 # Sources in order, the search fields that each carries, and lookup keys in order.
 CARRIED = {
@@ -137,17 +138,19 @@ def lookups(payloads: DataFrame) -> DataFrame:
     later = [item(k, "id", number_of_digits(F.col(k))) for k in ("drawer_id_number", "guarantor_id_number")]
     triple = [number_of_digits(F.col(c)) for c in ("bank_code", "branch_number", "account_number")]
     account = F.when(triple[0].isNotNull() & triple[1].isNotNull() & triple[2].isNotNull(), item("account", "account", none, *triple))
+    # each step a column of its own, so that none is worked out once for every use
     people = []
     for lang in ("he", "en"):
         first, last = F.col(f"first_name_{lang}"), F.col(f"last_name_{lang}")
         words = F.filter(F.split(normalized_name(F.concat_ws(" ", first, last)), " "), lambda w: w != "")
-        both = (F.trim(first) != "") & (F.trim(last) != "")
-        people.append(F.when(both & (F.size(words) >= 2) & F.forall(words, lambda w: F.length(w) >= 2), item(f"name_{lang}", "name", words=words)))
+        payloads = payloads.withColumn(f"_words_{lang}", F.when((F.trim(first) != "") & (F.trim(last) != ""), words))
+        words = F.col(f"_words_{lang}")
+        people.append(F.when((F.size(words) >= 2) & F.forall(words, lambda w: F.length(w) >= 2), item(f"name_{lang}", "name", words=words)))
     every = F.concat(F.array(*numbers), children, F.array(*later), F.array(account, *people))
     offered = F.filter(every, lambda x: x.isNotNull() & ((x["by"] != "id") | x["id"].isNotNull()))
-    ids = F.transform(offered, lambda x: x["id"])
-    kept = F.filter(offered, lambda x, i: (x["by"] != "id") | (F.array_position(ids, x["id"]) == i + 1))
-    return payloads.select("document_id", F.posexplode(kept).alias("pos", "l")).select("document_id", "pos", "l.*")
+    rows = payloads.withColumn("_offered", offered).withColumn("_ids", F.transform("_offered", lambda x: x["id"]))
+    kept = F.filter("_offered", lambda x, i: (x["by"] != "id") | (F.array_position("_ids", x["id"]) == i + 1))
+    return rows.select("document_id", F.posexplode(kept).alias("pos", "l")).select("document_id", "pos", "l.*")
 
 
 def _level(source: str, today: Column) -> Column:
@@ -161,14 +164,24 @@ def _level(source: str, today: Column) -> Column:
     return F.when(alert, "alert").otherwise("info")
 
 
+def _rarest_tokens(people: DataFrame, by_token: DataFrame) -> DataFrame:
+    """``people`` with ``_w``, the token of the name that the fewest records have; names with a token
+    that no record has are left out. A written table, so Spark knows the vocabulary's size."""
+    held = written(by_token.groupBy("_w").agg(F.count("*").alias("_n")), "token-counts")
+    tokens = F.array_distinct(F.flatten(F.transform("words", tokens_of)))
+    every = people.select("document_id", "pos", F.size(tokens).alias("_size"), F.explode(tokens).alias("_w")).join(held, "_w")
+    one = every.groupBy("document_id", "pos").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"), F.count("*").alias("_found"), F.first("_size").alias("_size"))
+    return people.join(one.filter("_found = _size").select("document_id", "pos", "_w"), ["document_id", "pos"])
+
+
 def screen(payloads: DataFrame, tables: Mapping[str, DataFrame], today: Column) -> DataFrame:
     """(document_id, field, by, pos, source, row_pos, level, record_key) of every match: each
     lookup against every loaded source that carries it, at most ``MATCH_LIMIT`` rows a lookup
     and source.
 
-    Lookups are exploded first, so each source is one equi-join; names join on their first
-    word as a token and are checked in full behind it."""
-    wanted = lookups(payloads)
+    Lookups are exploded first, so each source is one equi-join; names join on that of their
+    tokens which the fewest records have, and are checked in full behind it."""
+    wanted = written(lookups(payloads), "lookups")
     parts = []
     for i, (source, table) in enumerate((s, tables[s]) for s in CARRIED if s in tables):
         levelled = table.withColumn("level", _level(source, today))
@@ -183,8 +196,7 @@ def screen(payloads: DataFrame, tables: Mapping[str, DataFrame], today: Column)
             found = [wanted.filter(F.col("by") == "id").drop("bank", "branch", "account").join(by_id, "id")]
             if source == "nbctf_individuals":
                 by_token = levelled.select(key.alias("record_key"), "level", "tokens", F.explode(F.array_distinct("tokens")).alias("_w"), order)
-                people = wanted.filter(F.col("by") == "name").withColumn("_w", F.try_element_at(tokens_of(F.element_at("words", 1)), F.lit(1)))
-                named = people.join(by_token, "_w").filter(F.forall("words", lambda w: holds_phrase(F.col("tokens"), tokens_of(w), F.lit(True))))
+                named = _rarest_tokens(wanted.filter(F.col("by") == "name"), by_token).join(by_token, "_w").filter(F.forall("words", lambda w: holds_phrase(F.col("tokens"), tokens_of(w), F.lit(True))))
                 found.append(named)
         columns = ["document_id", "field", "by", "pos", "level", "record_key"]
         orders = [f"_o{n}" for n in range(len(ORDER[source]))]

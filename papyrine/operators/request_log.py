@@ -153,8 +153,11 @@ def by_verdict(log: DataFrame, *keys: str) -> DataFrame:
 
 def bar_widths(counts: DataFrame, n: str = "n", *keys: str) -> DataFrame:
     """Add ``width``: per cent of the largest count (of the keys' group), rounded half up."""
-    top = F.max(n).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
-    return counts.withColumn("width", F.when(top > 0, F.round(100 * F.col(n) / top)).otherwise(0).cast("int"))
+    tops = counts.groupBy(*keys).agg(F.max(n).alias("_top"))
+    # without keys a single row
+    joined = counts.join(tops, list(keys)) if keys else counts.join(F.broadcast(tops))
+    width = F.when(F.col("_top") > 0, F.round(100 * F.col(n) / F.col("_top"))).otherwise(0).cast("int")
+    return joined.withColumn("width", width).drop("_top")
 
 
 def usage(log: DataFrame, now: Column, pending_window: str) -> DataFrame:

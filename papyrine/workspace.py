@@ -3,7 +3,7 @@
 Iterative operators cut their lineage by writing a table here and reading it
 back, so a lost executor costs a re-read and never a recomputation of the whole
 history. The folder is the session's ``spark.checkpoint.dir``; only where that is
-unset (tests, a laptop) a temporary folder of this process takes its place.
+unset (tests, a laptop: a local master) a temporary folder of this process takes its place.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="papyrine-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
