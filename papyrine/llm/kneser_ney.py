@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.arrays import U64, distinct_inverse, mix, sums_by_text, text_blocks
@@ -130,6 +130,55 @@ def _discounts(n: list[int], modified: bool) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i) for i, d in zip((1, 2, 3), own))  # type: ignore[return-value]
 
 
+def _shapes(orders: DataFrame, modified: bool) -> DataFrame:
+    """(grp, k, types, d1, d2, d3): n-grams and discounts of each order."""
+    c = F.col("c")
+    counts = orders.groupBy("grp", "k").agg(*[F.count_if(c == i).alias(f"n{i}") for i in range(1, 5)], F.count("*").alias("types"))
+
+    def discounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            d = [_discounts([int(r[i]) for i in range(4)], modified) for r in batch[["n1", "n2", "n3", "n4"]].itertuples(index=False)]
+            yield pd.concat((batch[["grp", "k", "types"]], pd.DataFrame(d, columns=["d1", "d2", "d3"], index=batch.index)), axis=1)
+
+    return counts.mapInPandas(discounts, "grp string, k int, types long, d1 double, d2 double, d3 double")
+
+
+def _discount(c: Column) -> Column:
+    return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def _left_over(c: Column) -> Column:
+    """What of a count is left after its discount."""
+    return F.greatest(c - _discount(c), F.lit(0.0))
+
+
+def _whole_grains(p: Column) -> Column:
+    return F.rint(F.log(p) / GRAIN) * GRAIN
+
+
+def own_log_table(top: DataFrame, modified: bool) -> DataFrame:
+    """(grp, gram, log_p) of the counted n-grams ``top`` under the model of their own counts: what
+    :meth:`Model.log_table` gives for them, without a table in between. Every suffix of a counted
+    n-gram is a counted one, and a context has no more n-grams than there are classes."""
+    orders = {ORDER: top}
+    for k in range(ORDER - 1, 0, -1):
+        orders[k] = orders[k + 1].groupBy("grp", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("c"))
+    shorter = None
+    for k in range(1, ORDER + 1):
+        own = orders[k].withColumn("k", F.lit(k))
+        rows = own.join(_shapes(own, modified), ["grp", "k"]).withColumn("context", F.shiftrightunsigned("gram", CLASS_BITS))
+        of_context = Window.partitionBy("grp", "context")
+        total, held_back = F.sum("c").over(of_context), F.sum(_discount(F.col("c"))).over(of_context)
+        rows = rows.select("grp", "gram", "types", (_left_over(F.col("c")) / total).alias("part"), (held_back / total).alias("weight"))
+        if shorter is None:
+            shorter = rows.select("grp", "gram", (F.col("part") + F.col("weight") / (F.col("types") + 1)).alias("p"))
+        else:
+            rest = shorter.select("grp", F.col("gram").alias("rest"), "p")
+            rows = rows.withColumn("rest", _suffix(F.col("gram"), k - 1)).join(rest, ["grp", "rest"])
+            shorter = rows.select("grp", "gram", (F.col("part") + F.col("weight") * F.col("p")).alias("p"))
+    return shorter.select("grp", "gram", _whole_grains(F.col("p")).alias("log_p"))
+
+
 @dataclass
 class Model:
     """Tables of one model: ``grams`` (grp, k, gram, discounted count), ``contexts`` (grp, k,
@@ -158,7 +207,7 @@ class Model:
                 rows = rows.join(shorter, "grp")
             p = F.coalesce("discounted", F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("p")
             shorter = rows.select("grp", "gram", F.coalesce(p, "p").alias("p"))
-        return shorter.select("grp", "gram", (F.rint(F.log("p") / GRAIN) * GRAIN).alias("log_p"))
+        return shorter.select("grp", "gram", _whole_grains(F.col("p")).alias("log_p"))
 
     def log_probs(self, keys: np.ndarray, groups: list[str]) -> np.ndarray:
         """Log probabilities of a few n-grams by group, for a look at a model."""
@@ -172,17 +221,9 @@ def model_of(top: DataFrame, kind: str, modified: bool) -> Model:
     """The smoothed model of counted n-grams ``top`` (grp, gram, c); rows with a null group do not count."""
     orders = written(all_orders(top.filter("grp is not null")), "ngram-orders")
     c = F.col("c")
-    shapes = orders.groupBy("grp", "k").agg(*[F.count_if(c == i).alias(f"n{i}") for i in range(1, 5)], F.count("*").alias("types"))
-
-    def discounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            d = [_discounts([int(r[i]) for i in range(4)], modified) for r in batch[["n1", "n2", "n3", "n4"]].itertuples(index=False)]
-            yield pd.concat((batch[["grp", "k", "types"]], pd.DataFrame(d, columns=["d1", "d2", "d3"], index=batch.index)), axis=1)
-
-    shapes = written(shapes.mapInPandas(discounts, "grp string, k int, types long, d1 double, d2 double, d3 double"), "discounts")
+    shapes = written(_shapes(orders, modified), "discounts")
     discounted = orders.join(shapes, ["grp", "k"])
-    own = F.greatest(c - F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")), F.lit(0.0))
-    grams = written(discounted.select("grp", "k", "gram", own.alias("discounted")).sortWithinPartitions("grp", "k", "gram"), "ngram-model")
+    grams = written(discounted.select("grp", "k", "gram", _left_over(c).alias("discounted")).sortWithinPartitions("grp", "k", "gram"), "ngram-model")
     contexts = (
         orders.groupBy("grp", "k", F.shiftrightunsigned("gram", CLASS_BITS).alias("context"))
         .agg(F.sum("c").alias("total"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2"), F.count_if(c > 2).alias("n3"))
@@ -203,12 +244,9 @@ def fit(df: DataFrame, group: str, text: str, kind: str, modified: bool) -> Mode
 Judge = Callable[[pd.DataFrame, list[str], np.ndarray, np.ndarray], pd.DataFrame]
 
 
-def judged_blocks(docs: DataFrame, carried: Sequence[str], text: str, group: str | None, kind: str, logs: DataFrame, judge: Judge, schema: str) -> DataFrame:
-    """``judge`` over all rows of ``docs``, block by block.
-
-    ``logs`` has a row for every n-gram (``gram``, with ``group`` also ``grp``) of the texts and a
-    column of log probabilities a model. Texts must not be null."""
-    columns = [x for x in logs.columns if x not in ("grp", "gram")]
+def _packed_blocks(docs: DataFrame, carried: Sequence[str], text: str, group: Column, mark: Column) -> tuple[DataFrame, int]:
+    """(_block, _mark, _grp, _z, _c0, ...) of every row, and the number of blocks; ``mark`` is a
+    64-bit hash, which decides on the block."""
     n_chars = docs.agg(F.sum(F.char_length(text).cast("long"))).first()[0] or 0
     n_blocks = -(-max(n_chars, 1) // BLOCK_CHARS)
 
@@ -219,32 +257,49 @@ def judged_blocks(docs: DataFrame, carried: Sequence[str], text: str, group: str
         pack = zstandard.ZstdCompressor(level=1).compress
         return texts.map(lambda t: pack(t.encode("utf-8", "surrogatepass")))
 
-    def unpacked(part: pd.DataFrame) -> list[str]:
-        import zstandard
+    rows = docs.select(mark.alias("_mark"), group.cast("string").alias("_grp"), packed(text).alias("_z"), *[F.col(x).alias(f"_c{i}") for i, x in enumerate(carried)])
+    return rows.select(F.pmod("_mark", F.lit(n_blocks)).cast("int").alias("_block"), "*"), n_blocks
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        return [unpack(z).decode("utf-8", "surrogatepass") for z in part["_z"]]
 
-    block = F.pmod(F.xxhash64(*carried, text), F.lit(n_blocks)).cast("int")
-    own = F.col(group).cast("string") if group else F.lit("")
-    rows = docs.select(block.alias("_block"), own.alias("_grp"), packed(text).alias("_z"), *[F.col(x).alias(f"_c{i}") for i, x in enumerate(carried)])
-    # read twice, shuffled once: both uses have the same plan
-    rows = rows.repartition(n_blocks, "_block")
+def _unpacked(part: pd.DataFrame) -> list[str]:
+    import zstandard
 
-    def distinct(part: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"_block": [], "grp": [], "gram": []}).astype({"_block": "int32", "grp": object, "gram": "int64"})]
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(z).decode("utf-8", "surrogatepass") for z in part["_z"]]
+
+
+def _block_ngrams(rows: DataFrame, kind: str) -> DataFrame:
+    """(_block, grp, gram, c): the n-grams of each block, and how often its texts have them that no
+    mark of the block (a row without a text) tells not to count."""
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        left_out = part["_mark"][part["_z"].isna()].to_numpy()
+        part = part[part["_z"].notna()]
+        counts = ~part["_mark"].isin(left_out)
+        out = [pd.DataFrame({"_block": [], "grp": [], "gram": [], "c": []}).astype({"_block": "int32", "grp": object, "gram": "int64", "c": "int64"})]
         for grp, some in part.groupby("_grp"):
-            texts = unpacked(some)
-            found = [distinct_inverse(ngram_keys(texts[a:b], kind)[0])[0] for a, b in text_blocks(texts)]
-            grams = np.unique(np.concatenate([*found, np.empty(0, U64)]))
-            out.append(pd.DataFrame({"_block": part["_block"].iloc[0], "grp": grp, "gram": grams.view(np.int64)}))
+            texts, times = _unpacked(some), counts[some.index].to_numpy()
+            grams, numbers = [np.empty(0, U64)], [np.empty(0)]
+            for a, b in text_blocks(texts):
+                keys, bounds, _ = ngram_keys(texts[a:b], kind)
+                if len(keys):
+                    found, inverse = distinct_inverse(keys)
+                    grams.append(found)
+                    numbers.append(np.bincount(inverse, np.repeat(times[a:b].astype(float), np.diff(bounds)), len(found)))
+            found, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+            number = np.bincount(inverse, np.concatenate(numbers), len(found)).astype(np.int64)
+            out.append(pd.DataFrame({"_block": part["_block"].iloc[0], "grp": grp, "gram": found.view(np.int64), "c": number}))
         return pd.concat(out, ignore_index=True)
 
-    needed = rows.groupBy("_block").applyInPandas(distinct, "_block int, grp string, gram long")
-    known = needed.join(logs, ["grp", "gram"]) if group else needed.drop("grp").join(logs, "gram").withColumn("grp", F.lit(""))
+    return rows.groupBy("_block").applyInPandas(count, "_block int, grp string, gram long, c long")
+
+
+def _looked_up(rows: DataFrame, known: DataFrame, carried: Sequence[str], kind: str, judge: Judge, schema: str) -> DataFrame:
+    columns = [x for x in known.columns if x not in ("_block", "grp", "gram")]
 
     def look_up(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        texts = unpacked(part)
+        part = part[part["_z"].notna()]
+        texts = _unpacked(part)
         sums, sizes = np.zeros((len(texts), len(columns))), np.zeros(len(texts), np.int64)
         tables = {grp: x for grp, x in table.groupby("grp")}
         for grp, some in part.reset_index(drop=True).groupby("_grp"):
@@ -266,6 +321,31 @@ def judged_blocks(docs: DataFrame, carried: Sequence[str], text: str, group: str
     return rows.groupBy("_block").cogroup(known.groupBy("_block")).applyInPandas(look_up, schema)
 
 
+def judged_by_logs(docs: DataFrame, carried: Sequence[str], text: str, kind: str, logs: DataFrame, judge: Judge, schema: str) -> DataFrame:
+    """``judge`` over all rows of ``docs``, block by block, with the log probabilities of several models:
+    ``logs`` has a row for every n-gram (``gram``) of the texts and a column a model. Texts must not be null."""
+    rows, n_blocks = _packed_blocks(docs, carried, text, F.lit(""), F.xxhash64(*carried, text))
+    rows = rows.repartition(n_blocks, "_block")  # used twice, shuffled once: both uses have the same plan
+    known = _block_ngrams(rows, kind).drop("grp", "c").join(logs, "gram").withColumn("grp", F.lit(""))
+    return _looked_up(rows, known, carried, kind, judge, schema)
+
+
+def judged_by_own(docs: DataFrame, carried: Sequence[str], text: str, group: str, kind: str, modified: bool, mark: str, left_out: DataFrame, judge: Judge, schema: str) -> DataFrame:
+    """``judge`` over all rows of ``docs``, block by block, with the log probabilities of the model of each
+    row's group, which counts the rows whose ``mark`` (a 64-bit hash) is not in ``left_out`` (_mark).
+    Every n-gram must be in a counted row. Texts and groups must not be null.
+
+    One plan: the texts are shuffled once, with the marks, and their exchange is used to count, to
+    know a block's n-grams, and to look them up."""
+    rows, n_blocks = _packed_blocks(docs, carried, text, F.col(group), F.col(mark))
+    marks = left_out.select(F.pmod("_mark", F.lit(n_blocks)).cast("int").alias("_block"), "_mark")
+    rows = rows.unionByName(marks, allowMissingColumns=True).repartition(n_blocks, "_block")
+    grams = _block_ngrams(rows, kind)
+    top = grams.filter("c > 0").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
+    known = grams.drop("c").join(own_log_table(top, modified), ["grp", "gram"])
+    return _looked_up(rows, known, carried, kind, judge, schema)
+
+
 def scored(df: DataFrame, columns: list[str], score: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``score`` over Arrow batches of ``columns``."""
     return df.select(*columns).mapInPandas(lambda batches: (score(b) for b in batches if len(b)), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blocks
-from papyrine.llm.kneser_ney import count_ngrams, judged_blocks, model_of
+from papyrine.llm.kneser_ney import judged_by_own
 from papyrine.workspace import written
 
 SYMBOLS = "#*$%&|<>"
@@ -96,9 +96,9 @@ def base_counts(texts: list[str]) -> pd.DataFrame:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, logs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, digest of the text, the base counts, log_perplexity) of every document; ``logs``
-    holds the log probabilities of its n-grams."""
+def measure(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(key, lang, digest of the text, the base counts, log_perplexity) of every document, under the
+    model of its language, which counts each of its texts once; rows with a null key all count."""
 
     def judge(part: pd.DataFrame, texts: list[str], sums: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         counts = base_counts(texts)
@@ -107,27 +107,21 @@ def measure(docs: DataFrame, logs: DataFrame, key: str, text: str, lang: str) ->
 
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     rows = rows.withColumn("_digest", F.xxhash64("_text"))
+    # the digest and another hash: a text is left out where an equal one is counted, and only there
+    rows = rows.withColumn("_other", F.hash("_text", F.lit(7)))
+    rows = rows.withColumn("_mark", F.xxhash64(key, "lang", "_digest", "_other"))
+    narrow = written(rows.select(F.col(key).alias("_key"), "lang", "_digest", "_other", "_mark"), "text-marks")
+    same = ["lang", "_digest", "_other"]
+    repeated = narrow.groupBy(*same).agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    copies = narrow.join(written(repeated, "repeated-texts"), same).filter("_key > _first").select("_mark")
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang string, _digest long, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
-    return judged_blocks(rows, [key, "lang", "_digest"], "_text", "lang", "all", logs, judge, schema)
-
-
-def _once(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(_lang, _text) of ``docs`` with each text of a language once; rows with a null key stay."""
-    rows = docs.select(F.col(key).alias("_key"), "_lang", F.col(text).alias("_text")).withColumn("_digest", F.md5("_text"))
-    narrow = rows.select("_key", "_lang", "_digest")
-    repeated = narrow.groupBy("_lang", "_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    copies = narrow.join(repeated, ["_lang", "_digest"]).filter("_key > _first").select("_key", "_digest")
-    return rows.join(written(copies, "copies"), ["_key", "_digest"], "left_anti").select("_lang", "_text")
+    return judged_by_own(rows, [key, "lang", "_digest"], "_text", "lang", "all", True, "_mark", written(copies, "copies"), judge, schema)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE) -> DataFrame:
     """(key, base counts, log_perplexity, base_failed, kept) of every document."""
-    once = _once(docs.withColumn("_lang", F.coalesce(F.col(lang), F.lit("und"))), key, text)
-    grams = written(count_ngrams(once, "_lang", "_text", "all"), "ngram-counts")
-    # every n-gram of the texts is one that was counted
-    logs = written(model_of(grams, "all", modified=True).log_table(grams), "ngram-logs")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = written(measure(docs, logs, key, text, lang).withColumn("base_failed", failed), "quality-rules")
+    measured = written(measure(docs, key, text, lang).withColumn("base_failed", failed), "quality-rules")
     quartiles = (
         measured.filter(~F.col("base_failed"))
         .groupBy("lang", "_digest")
