@@ -162,7 +162,9 @@ def own_log_table(top: DataFrame, modified: bool) -> DataFrame:
     n-gram is a counted one, and a context has no more n-grams than there are classes."""
     orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
-        orders[k] = orders[k + 1].groupBy("grp", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("c"))
+        # every count is above 0; told so, Spark prunes no count and all uses of an order have the same plan
+        counted = F.count_if(F.col("c") > 0).alias("c")
+        orders[k] = orders[k + 1].groupBy("grp", _suffix(F.col("gram"), k).alias("gram")).agg(counted)
     shorter = None
     for k in range(1, ORDER + 1):
         own = orders[k].withColumn("k", F.lit(k))
@@ -341,7 +343,8 @@ def judged_by_own(docs: DataFrame, carried: Sequence[str], text: str, group: str
     marks = left_out.select(F.pmod("_mark", F.lit(n_blocks)).cast("int").alias("_block"), "_mark")
     rows = rows.unionByName(marks, allowMissingColumns=True).repartition(n_blocks, "_block")
     grams = _block_ngrams(rows, kind)
-    top = grams.filter("c > 0").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
+    # the filters that joins would add to some uses alone, so that all uses have the same plan
+    top = grams.filter("grp is not null and gram is not null and c > 0").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
     known = grams.drop("c").join(own_log_table(top, modified), ["grp", "gram"])
     return _looked_up(rows, known, carried, kind, judge, schema)
 
