@@ -12,7 +12,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Code points handled at once: a few tens of MB of intermediate arrays.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Odd multipliers of the hash tables below (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SEPARATOR = 0x0A

@@ -33,7 +33,7 @@ CLASS_BITS = 16
 #: Rows that a task keeps before it emits what it has counted so far.
 EMIT_ROWS = 2_000_000
 #: Characters of the texts that one task looks up together.
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 #: Log probabilities are whole multiples of this, so their sums are exact and equal texts have equal sums.
 GRAIN = 2.0**-24
 
