@@ -33,7 +33,7 @@ CLASS_BITS = 16
 #: Rows that a task keeps before it emits what it has counted so far.
 EMIT_ROWS = 2_000_000
 #: Characters of the texts that one task looks up together.
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 24
 #: Log probabilities are whole multiples of this, so their sums are exact and equal texts have equal sums.
 GRAIN = 2.0**-24
 
@@ -158,13 +158,10 @@ def _whole_grains(p: Column) -> Column:
 
 def own_log_table(top: DataFrame, modified: bool) -> DataFrame:
     """(grp, gram, log_p) of the counted n-grams ``top`` under the model of their own counts: what
-    :meth:`Model.log_table` gives for them, without a table in between. Every suffix of a counted
-    n-gram is a counted one, and a context has no more n-grams than there are classes."""
+    :meth:`Model.log_table` gives for them, in fewer joins. Every suffix of a counted n-gram is a counted one, and a context has no more n-grams than there are classes."""
     orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
-        # every count is above 0; told so, Spark prunes no count and all uses of an order have the same plan
-        counted = F.count_if(F.col("c") > 0).alias("c")
-        orders[k] = orders[k + 1].groupBy("grp", _suffix(F.col("gram"), k).alias("gram")).agg(counted)
+        orders[k] = orders[k + 1].groupBy("grp", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("c"))
     shorter = None
     for k in range(1, ORDER + 1):
         own = orders[k].withColumn("k", F.lit(k))
@@ -246,9 +243,8 @@ def fit(df: DataFrame, group: str, text: str, kind: str, modified: bool) -> Mode
 Judge = Callable[[pd.DataFrame, list[str], np.ndarray, np.ndarray], pd.DataFrame]
 
 
-def _packed_blocks(docs: DataFrame, carried: Sequence[str], text: str, group: Column, mark: Column) -> tuple[DataFrame, int]:
-    """(_block, _mark, _grp, _z, _c0, ...) of every row, and the number of blocks; ``mark`` is a
-    64-bit hash, which decides on the block."""
+def _packed_blocks(docs: DataFrame, carried: Sequence[str], text: str, group: Column) -> DataFrame:
+    """(_block, _grp, _z, _c0, ...) of every row, by block."""
     n_chars = docs.agg(F.sum(F.char_length(text).cast("long"))).first()[0] or 0
     n_blocks = -(-max(n_chars, 1) // BLOCK_CHARS)
 
@@ -259,8 +255,9 @@ def _packed_blocks(docs: DataFrame, carried: Sequence[str], text: str, group: Co
         pack = zstandard.ZstdCompressor(level=1).compress
         return texts.map(lambda t: pack(t.encode("utf-8", "surrogatepass")))
 
-    rows = docs.select(mark.alias("_mark"), group.cast("string").alias("_grp"), packed(text).alias("_z"), *[F.col(x).alias(f"_c{i}") for i, x in enumerate(carried)])
-    return rows.select(F.pmod("_mark", F.lit(n_blocks)).cast("int").alias("_block"), "*"), n_blocks
+    block = F.pmod(F.xxhash64(*carried, text), F.lit(n_blocks)).cast("int").alias("_block")
+    rows = docs.select(block, group.cast("string").alias("_grp"), packed(text).alias("_z"), *[F.col(x).alias(f"_c{i}") for i, x in enumerate(carried)])
+    return rows.repartition(n_blocks, "_block")
 
 
 def _unpacked(part: pd.DataFrame) -> list[str]:
@@ -271,36 +268,32 @@ def _unpacked(part: pd.DataFrame) -> list[str]:
 
 
 def _block_ngrams(rows: DataFrame, kind: str) -> DataFrame:
-    """(_block, grp, gram, c): the n-grams of each block, and how often its texts have them that no
-    mark of the block (a row without a text) tells not to count."""
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        left_out = part["_mark"][part["_z"].isna()].to_numpy()
-        part = part[part["_z"].notna()]
-        counts = ~part["_mark"].isin(left_out)
-        out = [pd.DataFrame({"_block": [], "grp": [], "gram": [], "c": []}).astype({"_block": "int32", "grp": object, "gram": "int64", "c": "int64"})]
+    """(_block, grp, gram): the distinct n-grams of each group in each block."""
+
+    def distinct(part: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"_block": [], "grp": [], "gram": []}).astype({"_block": "int32", "grp": object, "gram": "int64"})]
         for grp, some in part.groupby("_grp"):
-            texts, times = _unpacked(some), counts[some.index].to_numpy()
-            grams, numbers = [np.empty(0, U64)], [np.empty(0)]
-            for a, b in text_blocks(texts):
-                keys, bounds, _ = ngram_keys(texts[a:b], kind)
-                if len(keys):
-                    found, inverse = distinct_inverse(keys)
-                    grams.append(found)
-                    numbers.append(np.bincount(inverse, np.repeat(times[a:b].astype(float), np.diff(bounds)), len(found)))
-            found, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            number = np.bincount(inverse, np.concatenate(numbers), len(found)).astype(np.int64)
-            out.append(pd.DataFrame({"_block": part["_block"].iloc[0], "grp": grp, "gram": found.view(np.int64), "c": number}))
+            texts = _unpacked(some)
+            found = [distinct_inverse(ngram_keys(texts[a:b], kind)[0])[0] for a, b in text_blocks(texts)]
+            grams = np.unique(np.concatenate([*found, np.empty(0, U64)]))
+            out.append(pd.DataFrame({"_block": part["_block"].iloc[0], "grp": grp, "gram": grams.view(np.int64)}))
         return pd.concat(out, ignore_index=True)
 
-    return rows.groupBy("_block").applyInPandas(count, "_block int, grp string, gram long, c long")
+    return rows.groupBy("_block").applyInPandas(distinct, "_block int, grp string, gram long")
 
 
-def _looked_up(rows: DataFrame, known: DataFrame, carried: Sequence[str], kind: str, judge: Judge, schema: str) -> DataFrame:
-    columns = [x for x in known.columns if x not in ("_block", "grp", "gram")]
+def judged(docs: DataFrame, carried: Sequence[str], text: str, group: str | None, kind: str, logs: DataFrame, judge: Judge, schema: str) -> DataFrame:
+    """``judge`` over all rows of ``docs``, block by block.
+
+    ``logs`` has a row for every n-gram (``gram``; with ``group``, ``grp`` and ``gram``) of the texts and
+    a column of log probabilities a model. Texts and groups must not be null. The texts are shuffled
+    once: both uses of their exchange, for a block's n-grams and to look them up, have the same plan."""
+    columns = [x for x in logs.columns if x not in ("grp", "gram")]
+    rows = _packed_blocks(docs, carried, text, F.col(group) if group else F.lit(""))
+    grams = _block_ngrams(rows, kind)
+    known = grams.join(logs, ["grp", "gram"]) if group else grams.drop("grp").join(logs, "gram").withColumn("grp", F.lit(""))
 
     def look_up(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["_z"].notna()]
         texts = _unpacked(part)
         sums, sizes = np.zeros((len(texts), len(columns))), np.zeros(len(texts), np.int64)
         tables = {grp: x for grp, x in table.groupby("grp")}
@@ -323,32 +316,6 @@ def _looked_up(rows: DataFrame, known: DataFrame, carried: Sequence[str], kind:
     return rows.groupBy("_block").cogroup(known.groupBy("_block")).applyInPandas(look_up, schema)
 
 
-def judged_by_logs(docs: DataFrame, carried: Sequence[str], text: str, kind: str, logs: DataFrame, judge: Judge, schema: str) -> DataFrame:
-    """``judge`` over all rows of ``docs``, block by block, with the log probabilities of several models:
-    ``logs`` has a row for every n-gram (``gram``) of the texts and a column a model. Texts must not be null."""
-    rows, n_blocks = _packed_blocks(docs, carried, text, F.lit(""), F.xxhash64(*carried, text))
-    rows = rows.repartition(n_blocks, "_block")  # used twice, shuffled once: both uses have the same plan
-    known = _block_ngrams(rows, kind).drop("grp", "c").join(logs, "gram").withColumn("grp", F.lit(""))
-    return _looked_up(rows, known, carried, kind, judge, schema)
-
-
-def judged_by_own(docs: DataFrame, carried: Sequence[str], text: str, group: str, kind: str, modified: bool, mark: str, left_out: DataFrame, judge: Judge, schema: str) -> DataFrame:
-    """``judge`` over all rows of ``docs``, block by block, with the log probabilities of the model of each
-    row's group, which counts the rows whose ``mark`` (a 64-bit hash) is not in ``left_out`` (_mark).
-    Every n-gram must be in a counted row. Texts and groups must not be null.
-
-    One plan: the texts are shuffled once, with the marks, and their exchange is used to count, to
-    know a block's n-grams, and to look them up."""
-    rows, n_blocks = _packed_blocks(docs, carried, text, F.col(group), F.col(mark))
-    marks = left_out.select(F.pmod("_mark", F.lit(n_blocks)).cast("int").alias("_block"), "_mark")
-    rows = rows.unionByName(marks, allowMissingColumns=True).repartition(n_blocks, "_block")
-    grams = _block_ngrams(rows, kind)
-    # the filters that joins would add to some uses alone, so that all uses have the same plan
-    top = grams.filter("grp is not null and gram is not null and c > 0").groupBy("grp", "gram").agg(F.sum("c").alias("c"))
-    known = grams.drop("c").join(own_log_table(top, modified), ["grp", "gram"])
-    return _looked_up(rows, known, carried, kind, judge, schema)
-
-
 def scored(df: DataFrame, columns: list[str], score: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``score`` over Arrow batches of ``columns``."""
     return df.select(*columns).mapInPandas(lambda batches: (score(b) for b in batches if len(b)), schema)

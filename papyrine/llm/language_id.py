@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.kneser_ney import count_ngrams, judged_by_logs, model_of
+from papyrine.llm.kneser_ney import count_ngrams, judged, model_of
 from papyrine.workspace import written
 
 UNDETERMINED = "und"
@@ -58,7 +58,7 @@ def predict(rows: DataFrame, logs: DataFrame, langs: list[str], carried: list[st
         return part.assign(lang_pred=pred, score=score, cross_entropy=entropy)
 
     columns = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
-    return judged_by_logs(rows, carried, "_text", "letters", logs, judge, f"{columns}, lang_pred string, score double, cross_entropy double")
+    return judged(rows, carried, "_text", None, "letters", logs, judge, f"{columns}, lang_pred string, score double, cross_entropy double")
 
 
 def reject(predicted: DataFrame, share: float = 0.999, slack: float = 1.05) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.arrays import U64, Words, code_points, is_space, mix, text_blocks
-from papyrine.llm.kneser_ney import judged_by_own
+from papyrine.llm.kneser_ney import count_ngrams, judged, own_log_table
 from papyrine.workspace import written
 
 SYMBOLS = "#*$%&|<>"
@@ -113,9 +113,13 @@ def measure(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     narrow = written(rows.select(F.col(key).alias("_key"), "lang", "_digest", "_other", "_mark"), "text-marks")
     same = ["lang", "_digest", "_other"]
     repeated = narrow.groupBy(*same).agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    copies = narrow.join(written(repeated, "repeated-texts"), same).filter("_key > _first").select("_mark")
+    copies = written(narrow.join(written(repeated, "repeated-texts"), same).filter("_key > _first").select("_mark"), "copies")
+    # eight bytes a copy: Spark broadcasts them where they are few, and shuffles the texts once more where they are not
+    once = rows.join(copies, "_mark", "left_anti")
+    top = written(count_ngrams(once, "lang", "_text", "all"), "ngram-counts")
+    logs = written(own_log_table(top, modified=True), "ngram-logs")
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang string, _digest long, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
-    return judged_by_own(rows, [key, "lang", "_digest"], "_text", "lang", "all", True, "_mark", written(copies, "copies"), judge, schema)
+    return judged(rows, [key, "lang", "_digest"], "_text", "lang", "all", logs, judge, schema)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE) -> DataFrame:
