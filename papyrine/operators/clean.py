@@ -15,16 +15,39 @@ from papyrine.functions.identifiers import digits
 
 # The fields that each type carries, fields gated by a printed label, bank names.
 CARRIED = {
-    "teudat_zehut": "last_name_he first_name_he id_number date_of_birth date_of_issue date_of_expiry sex place_of_birth father_name_he mother_name_he",
-    "teudat_zehut_back": "id_number date_of_birth date_of_expiry sex last_name_en first_name_en",
-    "teudat_zehut_sefach": "last_name_he first_name_he id_number date_of_birth place_of_birth date_of_issue",
-    "israeli_passport": "last_name_he first_name_he last_name_en first_name_en id_number passport_number date_of_birth sex nationality place_of_birth father_name_he mother_name_he date_of_issue date_of_expiry",
-    "foreign_passport": "last_name_en first_name_en passport_number date_of_birth sex nationality place_of_birth date_of_issue date_of_expiry",
-    "israeli_drivers_license": "last_name_he first_name_he last_name_en first_name_en id_number date_of_birth date_of_issue date_of_expiry license_number address categories",
-    "disability_card": "last_name_he first_name_he last_name_en first_name_en id_number file_number date_of_expiry",
-    "cheque": "bank_name bank_code branch_number account_number cheque_number drawer_name drawer_id_number drawer_address drawer_phone payee amount amount_in_words date",
-    "cheque_back": "guarantor_name guarantor_id_number",
-}
+    "teudat_zehut": [
+        "last_name_he", "first_name_he", "id_number", "date_of_birth", "date_of_issue", "date_of_expiry", "sex", "place_of_birth",
+        "father_name_he", "mother_name_he",
+    ],
+    "teudat_zehut_back": [
+        "id_number", "date_of_birth", "date_of_expiry", "sex", "last_name_en", "first_name_en",
+    ],
+    "teudat_zehut_sefach": [
+        "last_name_he", "first_name_he", "id_number", "date_of_birth", "place_of_birth", "date_of_issue",
+    ],
+    "israeli_passport": [
+        "last_name_he", "first_name_he", "last_name_en", "first_name_en", "id_number", "passport_number", "date_of_birth", "sex",
+        "nationality", "place_of_birth", "father_name_he", "mother_name_he", "date_of_issue", "date_of_expiry",
+    ],
+    "foreign_passport": [
+        "last_name_en", "first_name_en", "passport_number", "date_of_birth", "sex", "nationality", "place_of_birth", "date_of_issue",
+        "date_of_expiry",
+    ],
+    "israeli_drivers_license": [
+        "last_name_he", "first_name_he", "last_name_en", "first_name_en", "id_number", "date_of_birth", "date_of_issue", "date_of_expiry",
+        "license_number", "address", "categories",
+    ],
+    "disability_card": [
+        "last_name_he", "first_name_he", "last_name_en", "first_name_en", "id_number", "file_number", "date_of_expiry",
+    ],
+    "cheque": [
+        "bank_name", "bank_code", "branch_number", "account_number", "cheque_number", "drawer_name", "drawer_id_number", "drawer_address",
+        "drawer_phone", "payee", "amount", "amount_in_words", "date",
+    ],
+    "cheque_back": [
+        "guarantor_name", "guarantor_id_number",
+    ],
+}
 GATED = {"teudat_zehut": ["sex", "place_of_birth", "father_name_he", "mother_name_he"]}
 DATES = ["date_of_birth", "date_of_issue", "date_of_expiry"]
 DIGIT_FIELDS = ["cheque_number", "bank_code", "branch_number", "account_number", "drawer_id_number", "guarantor_id_number"]
@@ -35,7 +58,7 @@ def _field(value: Column, confidence: Column) -> Column:
 
 
 def _carried(document_type: Column) -> Column:
-    lookup = F.create_map(*[x for t, f in CARRIED.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in f.split()]))])
+    lookup = F.create_map(*[x for t, f in CARRIED.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in f]))])
     return F.try_element_at(lookup, document_type)
 
 
