@@ -437,7 +437,13 @@ def stage_progress(spark, sf_dir):
     return stages.progress(staged).select("request_id", "classified", "read_count", "n_notes")
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT CAST(user_id AS STRING) AS key, epoch_ms(ts) AS ms, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+s AS (SELECT key, event_id AS request, n, ms, 1.0::DOUBLE AS tokens, true AS allowed, NULL::INT AS wait FROM r WHERE n = 1
+  UNION ALL SELECT key, event_id, n, ms, t - CASE WHEN t >= 1 THEN 1 ELSE 0 END, t >= 1, CASE WHEN t < 1 THEN CAST(greatest(1, ceil((1 - t) / (2::DOUBLE / 60000) / 1000)) AS INT) END
+  FROM (SELECT r.*, least(2::DOUBLE, s.tokens + (r.ms - s.ms) * (2::DOUBLE / 60000)) AS t FROM s JOIN r ON r.key = s.key AND r.n = s.n + 1))
+SELECT key, request, allowed, wait AS retry_after_s FROM s"""
+)
 def request_budget(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     requests = events.select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("request"))
