@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.names import email
+from papyrine.operators.request_log import page_bounds
 from papyrine.streaming.fold import State, batch_fold
 
+MAX_ACTIVE_KEYS = 20
+INVITATION_DAYS = 30
+
 
 def request_mode(auth: Column, has_key: Column, unlimited: Column, used: Column, cap: Column) -> Column:
     """local, byok, trial or exhausted."""
@@ -38,6 +42,55 @@ def resolve_keys(keys: DataFrame, users: DataFrame) -> DataFrame:
     return keys.filter(F.col("revoked_at").isNull()).join(users, "user_id")
 
 
+def key_outcomes(events: DataFrame, cap: int = MAX_ACTIVE_KEYS) -> DataFrame:
+    """What each event of a user's keys (user_id, seq, key_id, kind: create or revoke) did: created,
+    refused (``cap`` keys are live), revoked, or not_found (no such live key, so a key is revoked
+    once); with the live keys after it. The state of a user is at most ``cap`` identifiers."""
+
+    def apply(state: State, event: dict[str, Any]) -> tuple[State, list[dict[str, Any]]]:
+        live, key = state["live"], event["key_id"]
+        if event["kind"] == "create":
+            outcome = "created" if len(live) < cap else "refused"
+            live = [*live, key] if outcome == "created" else live
+        else:
+            outcome = "revoked" if key in live else "not_found"
+            live = [k for k in live if k != key]
+        return {"live": live}, [{"seq": event["seq"], "key_id": key, "outcome": outcome, "active": len(live)}]
+
+    types = {c: events.schema[c].dataType.simpleString() for c in ("user_id", "seq", "key_id")}
+    schema = f"user_id {types['user_id']}, seq {types['seq']}, key_id {types['key_id']}, outcome string, active int"
+    return batch_fold(events.select("user_id", "seq", "key_id", "kind"), "user_id", ["seq"], lambda: {"live": []}, apply, schema)
+
+
+def key_listing(keys: DataFrame) -> DataFrame:
+    """Each user's keys without their hashes, newest first by ``position``; ``active`` counts the live ones."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
+    active = F.count_if(F.col("revoked_at").isNull()).over(Window.partitionBy("user_id"))
+    return keys.drop("hash").withColumns({"position": F.row_number().over(newest), "active": active})
+
+
+def admin_count(users: DataFrame) -> DataFrame:
+    """One row: users and admins."""
+    return users.agg(F.count("*").alias("users"), F.count_if(F.col("role") == "admin").alias("admins"))
+
+
+def public_settings(settings: DataFrame, single_user: Column, default_model: str, for_keys: bool = False) -> DataFrame:
+    """Settings as their user sees them: that a key is stored and its last characters, never the
+    key. The backend and the local model show only where one user runs the service alone; requests
+    made with an API key (``for_keys``) see no trace of the stored key."""
+    local = {c: F.when(single_user, F.col(c)) for c in ("backend", "local_model")}
+    traces = [] if for_keys else [F.col("key_last4"), F.col("key_enc").isNotNull().alias("has_key")]
+    shown = settings.withColumns(local)
+    return shown.select("user_id", "store_results", "check_registries", "model", "local_model", "backend", F.lit(default_model).alias("default_model"), *traces)
+
+
+def user_listing(users: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """One page of all users, newest first, with their ``total``."""
+    size, skip = page_bounds(limit, offset)
+    page = users.orderBy(F.desc("created_at"), F.desc("user_id")).offset(skip).limit(size)
+    return page.join(F.broadcast(users.agg(F.count("*").alias("total"))))  # a single row
+
+
 def with_inviter(invitations: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """Invitations with the inviter's address (or null) and the status as of ``now``."""
     inviters = users.select(F.col("user_id").alias("invited_by"), F.col("email").alias("inviter_email"))
@@ -78,6 +131,53 @@ def current_invitations(events: DataFrame) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(newest)).withColumn("status", status).drop("_n")
 
 
+def invitation_states(events: DataFrame) -> DataFrame:
+    """Current row of each invitation from its events (id, email, kind: sent, resent, accepted or
+    revoked, at). Each sending moves both dates; the first of acceptance, revocation and a later
+    invitation of the same address ends it, which only an acceptance does not call revoked."""
+    at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("at"))
+    rows = events.groupBy("id").agg(
+        F.min_by(email(F.col("email")), at("sent")).alias("email"), F.min(at("sent")).alias("_sent"), F.max(at("sent", "resent")).alias("created_at"),
+        F.min(at("accepted")).alias("_accepted"), F.min(at("revoked")).alias("_revoked"),
+    )
+    later = F.lead("_sent").over(Window.partitionBy("email").orderBy("_sent", "id"))
+    rows = rows.withColumn("_closed", F.least("_revoked", later))
+    accepted = F.col("_accepted") <= F.coalesce("_closed", "_accepted")
+    return rows.select(
+        "id", "email", "created_at", (F.col("created_at") + F.expr(f"INTERVAL {INVITATION_DAYS} DAYS")).alias("expires_at"),
+        F.when(accepted, "accepted").when(F.col("_closed").isNotNull(), "revoked").otherwise("pending").alias("status"), F.when(accepted, F.col("_accepted")).alias("accepted_at"),
+    )
+
+
+def invitation_listing(invitations: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Invitations with inviters and status as of ``now``, newest first."""
+    return with_inviter(invitations, users, now).orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def admitted_accounts(sign_ups: DataFrame, invitations: DataFrame, users: DataFrame, admin_email: str | None) -> DataFrame:
+    """New accounts (user_id, role, email, invitation_id, created_at) of sign-ups (user_id, email,
+    verified, at): the first with the configured admin's verified address becomes admin while there
+    is none, and takes the newest pending invitation of it, expired or not; others need a live one,
+    which one sign-up uses. Known users and the rest get no row."""
+    fresh = sign_ups.join(users.select("user_id"), "user_id", "left_anti")
+    invited = admitted(fresh, invitations)
+    once = Window.partitionBy("invitation_id").orderBy("at", "user_id")
+    addresses = invitations.select(F.col("id").alias("invitation_id"), email(F.col("email")).alias("email"))
+    invited = invited.withColumn("_n", F.row_number().over(once)).filter("_n = 1").join(addresses, "invitation_id")
+    guests = invited.select("user_id", F.lit("user").alias("role"), "email", "invitation_id", F.col("at").alias("created_at"))
+    if admin_email is None:
+        return guests
+    mine = fresh.filter(F.col("verified") & (email(F.col("email")) == admin_email))
+    founder = mine.agg(F.min(F.struct("at", "user_id")).alias("f")).filter("f is not null").select("f.user_id", F.col("f.at").alias("created_at"))
+    founder = founder.join(F.broadcast(users.agg(F.count_if(F.col("role") == "admin").alias("_admins")))).filter("_admins = 0")  # single rows
+    own = invitations.filter((F.col("status") == "pending") & (email(F.col("email")) == admin_email)).select(F.col("id").alias("_id"), F.col("created_at").alias("_sent"))
+    own = own.join(F.broadcast(founder.select("created_at")), F.col("_sent") <= F.col("created_at"))  # a single row
+    newest = own.agg(F.max(F.struct("_sent", "_id"))["_id"].alias("invitation_id"))
+    admin = founder.join(F.broadcast(newest)).select("user_id", F.lit("admin").alias("role"), F.lit(admin_email).alias("email"), "invitation_id", "created_at")
+    left = guests.join(admin.select("user_id"), "user_id", "left_anti").join(admin.select("invitation_id"), "invitation_id", "left_anti")
+    return admin.unionByName(left)
+
+
 def upserted(current: DataFrame, patches: DataFrame, key: str, order: str) -> DataFrame:
     """``current`` with later patches over it; null in a patch leaves the value."""
     base = current.withColumn(order, F.lit(None).cast(patches.schema[order].dataType))
@@ -92,6 +192,13 @@ def without_user(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
     return {name: df.join(gone, "user_id", "left_anti").select(*df.columns) for name, df in tables.items()}
 
 
+def unlinked_invitations(invitations: DataFrame, gone: DataFrame) -> DataFrame:
+    """Invitations that the deleted users (user_id) accepted stay as records without their user."""
+    left = gone.select(F.col("user_id").alias("accepted_user_id"), F.lit(True).alias("_gone")).distinct()
+    rows = invitations.join(left, "accepted_user_id", "left")
+    return rows.withColumn("accepted_user_id", F.when(F.col("_gone").isNull(), F.col("accepted_user_id"))).select(*invitations.columns)
+
+
 def throttled_last_seen(events: DataFrame, seconds: int = 60) -> DataFrame:
     """The visits (user_id, at) that rewrite ``last_seen``: each at least a minute after the last
     that did; a fold over one user's visits in order, which keeps the last one alone."""

@@ -33,8 +33,10 @@ def merged(records: DataFrame, page: str = "page_id") -> DataFrame:
     pages = records.groupBy(page).agg(F.array_sort(F.collect_list(item), in_order).alias("r"))
     names = F.array(*[F.lit(f) for f in FIELDS])
     first = F.element_at("r", 1)
+    # a fold keeps the type it starts with, so its fields must be allowed to be null
+    fields = F.transform_values(first["fields"], lambda n, f: F.try_element_at(first["fields"], n))
     start = F.struct(
-        first["document_type"].alias("document_type"), first["fields"].alias("fields"), first["mrz_lines"].alias("mrz_lines"), first["notes"].alias("notes"),
+        first["document_type"].alias("document_type"), fields.alias("fields"), first["mrz_lines"].alias("mrz_lines"), first["notes"].alias("notes"),
         F.array().cast("array<string>").alias("warnings"),
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OK, PENDING, INTERRUPTED = 200, 102, 500
-PAGE_DEFAULT, PAGE_MAX = 50, 200
+PAGE_DEFAULT, PAGE_MAX, DETAIL_PAGE = 50, 200, 20
 # Document families of region types, and classifier words for the same.
 FAMILIES: dict[str, list[str]] = {
     "teudat_zehut": ["teudat_zehut", "teudat_zehut_back", "teudat_zehut_sefach"],
@@ -115,6 +115,22 @@ def listing(log: DataFrame, filters: Mapping[str, str] | None = None, limit: int
     return ranked.join(totals, "user_id")
 
 
+def stored_results(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked requests (id, user_id) with ``found`` and the stored result: one of another user
+    is not found, one whose result was not kept is found without it."""
+    rows = log.select("id", "user_id", "result_enc", F.lit(True).alias("_found"))
+    return asked.join(rows, ["id", "user_id"], "left").select(*asked.columns, F.coalesce("_found", F.lit(False)).alias("found"), "result_enc")
+
+
+def recent_page(log: DataFrame, asked: DataFrame, size: int = DETAIL_PAGE) -> DataFrame:
+    """The page of requests that each user (user_id, page: text) asks for, clamped to the pages there are."""
+    totals = log.groupBy("user_id").agg(F.count("*").alias("total"))
+    pages = asked.join(totals, "user_id").withColumn("page", page_arithmetic(F.col("total"), F.lit(size), F.col("page"))["page"])
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
+    ranked = metadata(log).withColumn("position", F.row_number().over(newest))
+    return ranked.join(pages, "user_id").filter((F.col("position") > (F.col("page") - 1) * size) & (F.col("position") <= F.col("page") * size))
+
+
 def facets(log: DataFrame) -> DataFrame:
     """Per user: families in display order, and sorted verdicts, backends and sources."""
     order = F.array(*[F.lit(f) for f in FAMILIES])
@@ -223,7 +239,11 @@ def per_user(log: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def user_detail(log: DataFrame, now: Column, pending_window: str) -> DataFrame:
-    """Per user: aggregates, usage of the month and dashboard, side by side."""
+def user_detail(log: DataFrame, now: Column, pending_window: str, settings: DataFrame | None = None) -> DataFrame:
+    """Per user: aggregates, usage of the month and dashboard, side by side; with ``settings`` also
+    whether results are stored (false unless set) and the chosen model. ``recent_page`` has the rows."""
     parts = [per_user(log, now), usage(log, now, pending_window).drop("total"), dashboard(log, now)]
-    return parts[0].join(parts[1], "user_id").join(parts[2], "user_id")
+    detail = parts[0].join(parts[1], "user_id").join(parts[2], "user_id")
+    if settings is None:
+        return detail
+    return detail.join(settings.select("user_id", "store_results", "model"), "user_id", "left").withColumn("store_results", F.coalesce("store_results", F.lit(False)))

@@ -100,6 +100,24 @@ SELECT o_orderkey AS k, CAST(extract(DAY FROM o_orderdate) AS STRING) AS d, CAST
 SELECT k, upper_line, data || CASE WHEN k % 7 = 0 THEN CASE composite WHEN '0' THEN '1' ELSE '0' END ELSE composite END AS data_line FROM (
   SELECT k, upper_line, data, {check_digit('(substr(data, 1, 10) || substr(data, 14, 7) || substr(data, 22, 22))', 39)} AS composite
   FROM (SELECT c_custkey AS k, 'P<UTOERIKSSON<<ANNA<MARIA<<<<' AS upper_line, {_DATA} AS data FROM {{customer}}))""",
+    "key_events": """
+SELECT key % 23 AS user_id, seq, CASE WHEN odd AND key % 5 < 2 THEN 'revoke' ELSE 'create' END AS kind,
+  CASE WHEN odd AND key % 5 >= 2 THEN -seq WHEN odd AND key % 3 = 0 THEN key - 23 ELSE key END AS key_id
+FROM (SELECT o_orderkey AS seq, CAST(floor(o_orderkey / 2) AS BIGINT) AS key, o_orderkey % 2 = 1 AS odd FROM {orders})""",
+    "invitation_events": """
+SELECT o_orderkey AS id, ' U' || CAST(o_custkey % 97 AS STRING) || '@x.test' AS email, 'sent' AS kind, CAST(o_orderdate AS TIMESTAMP) AS moment FROM {orders}
+UNION ALL
+SELECT o_orderkey AS id, NULL AS email, CASE l_linenumber WHEN 3 THEN 'accepted' WHEN 4 THEN 'revoked' ELSE 'resent' END AS kind,
+  CASE l_linenumber WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '5' DAY WHEN 3 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '9' DAY
+    WHEN 4 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '7' DAY ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL '8' DAY END AS moment
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+WHERE l_linenumber IN (2, 5) OR l_linenumber = 3 AND o_orderkey % 3 = 0 OR l_linenumber = 4 AND o_orderkey % 4 = 0""",
+    "invites": """
+SELECT o_orderkey AS id, 'u' || CAST(o_custkey % 97 AS STRING) || '@x.test' AS email, CASE WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'revoked' END AS status,
+  CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '30' DAY AS expires_at FROM {orders}""",
+    "sign_ups": """
+SELECT o_orderkey AS user_id, 'U' || CAST(o_custkey % 120 AS STRING) || '@x.test' AS email, o_orderkey % 4 > 0 AS verified,
+  CAST(o_orderdate AS TIMESTAMP) + INTERVAL '3' DAY AS moment FROM {orders}""",
     "boxes": """
 SELECT l_orderkey AS page_id, l_linenumber AS idx, CAST(l_partkey * 7 % 600 AS INT) AS x1, CAST(l_suppkey * 13 % 600 AS INT) AS y1,
   CAST(l_partkey * 7 % 600 + 20 + l_partkey * 31 % 380 AS INT) AS x2, CAST(l_suppkey * 13 % 600 + 20 + l_partkey * 17 % 380 AS INT) AS y2,
@@ -121,5 +139,7 @@ def oracle(sql: str, *views: str) -> str:
     """DuckDB SQL over the named views."""
     parts = [f"{v} AS ({re.sub(r'[{](' + r'[a-z]+' + r')[}]', lambda m: m[1], VIEWS[v])})" for v in views]
     head = "WITH " + ", ".join(parts) if parts else ""
-    body = sql.strip()
-    return f"{head}{',' if body.upper().startswith('WITH ') and head else ''} {body[5:] if body.upper().startswith('WITH ') and head else body}"
+    body, recursive = sql.strip(), ""
+    if head and (start := re.match("WITH (RECURSIVE )?", body, re.IGNORECASE)):
+        body, recursive, head = body[start.end() :], start[1] or "", head + ","
+    return f"{head.replace('WITH ', f'WITH {recursive}', 1)} {body}"

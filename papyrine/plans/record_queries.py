@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyrine.functions import display, geometry, names
-from papyrine.operators import accounts, request_log
-from papyrine.plans.adapters import view
+from papyrine.operators import accounts, clean, merge, request_log, validation
+from papyrine.plans.adapters import pick, view
 from papyrine.plans.queries import query
 
 
@@ -184,3 +184,119 @@ def pages_whole(spark, sf_dir):
     box = F.array("x1", "y1", "x2", "y2")
     pages = view(spark, sf_dir, "boxes").groupBy("page_id").agg(F.collect_list(box).alias("boxes"))
     return pages.select("page_id", geometry.whole_page(F.col("boxes")).alias("whole"))
+
+
+# --- records: cheques with amounts, merged pages, cleaned fields ---------------------------------
+
+_WORDS = ['ארבעת אלפים וחמש מאות ש"ח', "מאתיים ארבעים אלף ומאה", "אלף ומאה שח בלבד", "בלה בלה", None, None]
+_FIGURES = ["4500.00", "240100.00", "700.00", "11.00", "4500", None]
+_DRAWERS = ["123456782", "123456782", "123456782", "123456783", None]
+_GUARANTORS = ["300000007", None, "123456783", None, None, None, None]
+
+
+@query(
+    f"""SELECT k, CASE WHEN k % 6 = 2 OR k % 5 = 3 OR k % 7 = 2 THEN 'mismatch' WHEN k % 11 = 0 THEN 'unverified' WHEN k % 7 IN (1, 3) OR k % 6 IN (3, 4) THEN 'partial' ELSE 'verified' END AS verdict,
+  {pick("k % 6", ["4500.00", "240100.00", "1100.00", None, None, None])} AS words, CASE WHEN k % 5 < 4 THEN k % 5 < 3 END AS id_valid,
+  CASE WHEN k % 7 = 0 AND k % 5 < 4 THEN FALSE WHEN k % 7 = 2 AND k % 5 < 4 THEN k % 5 = 3 END AS guarantor_is_drawer FROM (SELECT o_orderkey AS k FROM orders)"""
+)
+def cheque_amounts(spark, sf_dir):
+    """Cheques with figures, Hebrew words, drawers and guarantors, whose line is absent at every 11th key."""
+    k = F.col("o_orderkey")
+    records = _orders(spark, sf_dir).select(
+        k.alias("k"), F.when(k % 11 > 0, "80001234 11 14841 0000123456").alias("micr_line"), F.lit("80001234").alias("cheque_number"), F.lit("11").alias("bank_code"), F.lit("148").alias("branch_number"),
+        F.lit("123456").alias("account_number"), F.expr(pick("o_orderkey % 6", _FIGURES)).alias("amount"), F.expr(pick("o_orderkey % 6", _WORDS)).alias("amount_in_words"),
+        F.expr(pick("o_orderkey % 5", _DRAWERS)).alias("drawer_id_number"), F.expr(pick("o_orderkey % 7", _GUARANTORS)).alias("guarantor_id_number"), F.when(k % 7 == 1, "x").alias("guarantor_name"),
+        (k % 7 == 3).alias("guarantor_signed"),
+    )
+    words = F.filter("cross_checks", lambda c: c["field"] == "amount")
+    return validation.validate_cheque(records).select("k", "verdict", F.try_element_at(words, F.lit(1))["reference"].alias("words"), "id_valid", "guarantor_is_drawer")
+
+
+def _fields(**values):
+    """Map of fields from (value, confidence) columns."""
+    pairs = [x for name, (value, sure) in values.items() for x in (F.lit(name), F.struct(value.alias("value"), sure.alias("confidence")))]
+    return F.create_map(*pairs)
+
+
+_OTHERS = ["israeli_drivers_license", "teudat_zehut_back", "israeli_passport"]
+
+
+@query(
+    f"""SELECT k, name, sure, address, lines, notes, CASE WHEN stranger THEN 'Ignored a ' || other || ' block belonging to a different person (ID number differs)'
+  WHEN NOT fills AND k % 4 > 0 THEN 'last_name_en differs between teudat_zehut and ' || other ELSE '' END AS warnings FROM (
+  SELECT k, other, stranger, fills, CASE WHEN taken THEN 'COHEN' WHEN k % 4 > 0 THEN 'LEVI' END AS name,
+    CASE WHEN taken THEN CASE WHEN k % 2 = 0 THEN 'high' ELSE 'medium' END WHEN k % 5 = 0 THEN 'medium' ELSE 'high' END AS sure,
+    CASE WHEN NOT stranger AND k % 3 < 2 THEN 'Main 1' END AS address, CASE WHEN NOT stranger THEN 'L' ELSE '' END AS lines,
+    CASE WHEN stranger OR fills THEN CASE WHEN k % 2 = 0 THEN 'a' END ELSE concat_ws('; ', CASE WHEN k % 2 = 0 THEN 'a' END, 'b') END AS notes
+  FROM (SELECT *, NOT stranger AND (k % 4 = 0 OR NOT fills AND k % 5 = 0 AND k % 2 = 0) AS taken
+    FROM (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS stranger, o_orderkey % 3 = 1 AS fills, {pick("o_orderkey % 3", _OTHERS)} AS other FROM orders)))"""
+)
+def pages_merged_fields(spark, sf_dir):
+    """Two documents a page: the second fills gaps, corrects unsure names, or is of another person."""
+    k, high, medium = F.col("o_orderkey"), F.lit("high"), F.lit("medium")
+    number = k.cast("string")
+    keys = _orders(spark, sf_dir)
+    first = keys.select(
+        k.alias("page_id"), F.lit(0).alias("pos"), F.lit("teudat_zehut").alias("document_type"),
+        _fields(id_number=(F.concat(F.lit("A"), number), high), last_name_en=(F.when(k % 4 > 0, "LEVI"), F.when(k % 5 == 0, medium).otherwise(high))).alias("fields"),
+        F.lit(None).cast("array<string>").alias("mrz_lines"), F.when(k % 2 == 0, "a").alias("notes"),
+    )
+    second = keys.select(
+        k.alias("page_id"), F.lit(1).alias("pos"), F.expr(pick("o_orderkey % 3", _OTHERS)).alias("document_type"),
+        _fields(
+            id_number=(F.when(k % 7 == 0, F.concat(F.lit("B"), number)).when(k % 7 > 1, F.concat(F.lit("A-"), number)), high),
+            last_name_en=(F.lit("COHEN"), F.when(k % 2 == 0, high).otherwise(medium)), address=(F.when(k % 3 < 2, "Main 1"), high),
+        ).alias("fields"),
+        F.array(F.lit("L")).alias("mrz_lines"), F.lit("b").alias("notes"),
+    )
+    name, address = (F.try_element_at("fields", F.lit(n)) for n in ("last_name_en", "address"))
+    lines = F.array_join(F.coalesce("mrz_lines", F.array().cast("array<string>")), "|")
+    return merge.merged(first.unionByName(second)).select(
+        F.col("page_id").alias("k"), name["value"].alias("name"), name["confidence"].alias("sure"), address["value"].alias("address"), lines.alias("lines"), "notes", F.array_join("warnings", "; ").alias("warnings")
+    )
+
+
+@query(
+    """SELECT k, CASE WHEN k % 3 = 1 THEN '2010-01-01' ELSE '2015-02-05' END AS issue, CASE WHEN k % 3 = 1 THEN 'medium' ELSE 'high' END AS issue_sure,
+  CASE k % 3 WHEN 0 THEN '2025-02-05' WHEN 1 THEN '2015-02-05' END AS expiry, CASE k % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS expiry_sure,
+  CASE WHEN k % 4 < 2 THEN '9' ELSE '' END || CAST(k AS STRING) AS number, CASE WHEN k % 4 = 0 THEN 'medium' ELSE 'high' END AS number_sure,
+  CASE WHEN k % 5 = 0 THEN 'F' END AS sex, CAST(NULL AS STRING) AS licence FROM (SELECT o_orderkey AS k FROM orders)"""
+)
+def identity_cleaned(spark, sf_dir):
+    """Cards with swapped or equal dates, anchored numbers, a gated sex and a field that no card carries."""
+    k, high = F.col("o_orderkey"), F.lit("high")
+    number = k.cast("string")
+    fields = _fields(
+        date_of_issue=(F.lit("5.2.2015"), high), date_of_expiry=(F.when(k % 3 == 0, "05.02.2025").when(k % 3 == 1, "1.1.2010").otherwise("05/02/2015"), high),
+        id_number=(F.when(k % 4 != 1, number), high), sex=(F.lit("F"), high), license_number=(F.lit("77"), high),
+    )
+    anchors = F.when(k % 4 < 2, F.create_map(F.lit("id_number"), F.concat(F.lit("9"), number)))
+    cards = _orders(spark, sf_dir).select(k.alias("k"), F.lit("teudat_zehut").alias("document_type"), fields.alias("fields"), F.when(k % 5 == 0, F.array(F.lit("sex"))).alias("printed"), anchors.alias("anchors"))
+    of = lambda name: F.try_element_at("fields", F.lit(name))
+    return clean.identity(cards).select(
+        "k", of("date_of_issue")["value"].alias("issue"), of("date_of_issue")["confidence"].alias("issue_sure"), of("date_of_expiry")["value"].alias("expiry"),
+        of("date_of_expiry")["confidence"].alias("expiry_sure"), of("id_number")["value"].alias("number"), of("id_number")["confidence"].alias("number_sure"), of("sex")["value"].alias("sex"),
+        of("license_number")["value"].alias("licence"),
+    )
+
+
+@query(
+    """SELECT k, CASE WHEN k % 4 = 1 THEN '300000007' WHEN k % 4 = 0 THEN '123456782' ELSE '123456783' END AS id_number, CASE WHEN k % 4 = 1 THEN 'medium' ELSE 'high' END AS id_confidence,
+  CASE WHEN k % 3 = 0 THEN 'Bank B' ELSE 'read' END AS bank, CAST(k % 900 + 100 AS STRING) AS branch, CASE WHEN k % 2 = 0 THEN '123456782' END AS drawer FROM (SELECT o_orderkey AS k FROM orders)"""
+)
+def cheques_cleaned(spark, sf_dir):
+    """Cheques with the bank's listed name, a branch of five digits and short numbers, and re-read identity numbers."""
+    k, high = F.col("o_orderkey"), F.lit("high")
+    fields = _fields(
+        bank_code=(F.when(k % 3 == 0, "011").otherwise("99"), high), bank_name=(F.lit("read"), high), drawer_id_number=(F.when(k % 2 == 0, "1234-56782").otherwise("12345"), high),
+        branch_number=(F.concat((k % 900 + 100).cast("string"), F.when(k % 5 == 0, "-41").otherwise("")), high),
+    )
+    read = F.when(k % 4 == 0, "123456782").when(k % 4 == 1, "0300000007").otherwise("123456783")
+    again = F.when(k % 4 == 1, "300000007").when(k % 4 == 3, "123456783").otherwise("123456782")
+    none = F.lit(None)
+    cheques = _orders(spark, sf_dir).select(
+        k.alias("k"), F.lit("cheque").alias("document_type"), fields.alias("fields"), none.cast("array<string>").alias("printed"), none.cast("map<string,string>").alias("anchors"),
+        read.alias("id_number"), again.alias("reread"), high.alias("id_confidence"),
+    )
+    of = lambda name: F.try_element_at("fields", F.lit(name))["value"]
+    return clean.reread_ids(clean.cheque(cheques, {"11": "Bank B"})).select("k", "id_number", "id_confidence", of("bank_name").alias("bank"), of("branch_number").alias("branch"), of("drawer_id_number").alias("drawer"))

@@ -70,8 +70,21 @@ class SnapshotStore:
         self._put(source, record)
         return record
 
+    def refresh_all(self, loads: dict[str, Callable[[], tuple[DataFrame, str | None]]]) -> list[dict] | None:
+        """Refresh the sources in order; a failing one does not stop the next. None where another
+        run is going: the file system creates the run's mark for one caller only."""
+        mark = self._path("refresh.running")
+        self._fs().mkdirs(self._path())
+        if not self._fs().createNewFile(mark):
+            return None
+        try:
+            return [self.refresh(source, load) for source, load in loads.items()]
+        finally:
+            self._fs().delete(mark, False)
+
     def interrupt_running(self, sources: list[str]) -> None:
-        """After a crash: runs that never ended are interrupted."""
+        """After a crash: runs that never ended are interrupted, and a new one may start."""
+        self._fs().delete(self._path("refresh.running"), False)
         for source in sources:
             if (record := self.status(source))["status"] == "running":
                 self._put(source, record | {"status": "interrupted"})

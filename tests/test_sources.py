@@ -94,6 +94,25 @@ def test_snapshots(spark, tmp_path):
     assert store.status("companies")["status"] == "interrupted" and store.read("companies").count() == 5
 
 
+def test_one_refresh_at_a_time(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/registry")
+    seen = []
+
+    def load():
+        seen.append(store.refresh_all({"companies": load}))
+        return spark.range(2), None
+
+    def broken():
+        raise OSError("gone")
+
+    told = store.refresh_all({"boi_severe": broken, "companies": load})
+    assert [r["status"] for r in told] == ["error", "ok"] and seen == [None]
+    (tmp_path / "registry" / "refresh.running").write_text("")
+    assert store.refresh_all({"companies": load}) is None
+    store.interrupt_running(["companies"])
+    assert store.refresh_all({"companies": lambda: (spark.range(1), None)})[0]["row_count"] == 1
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return {
