@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import decontamination, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters
+from papyrine.llm import decontamination, exact_dedup, importance_resampling, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters, whitening
 from papyrine.workspace import shared_folder
 
 CONTEXT_TOKENS = 1024
@@ -107,6 +107,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_words=1)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+_WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: CRC-32 (polynomial 0xEDB88320) of a word's UTF-8 bytes in DuckDB: a table of 256 rests, then a fold over the bytes.
+_CRC_SQL = """rests AS (SELECT list(c ORDER BY i) AS rest FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+crcs AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(h), 2), lambda p: ('0x' || substr(h, p + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, rest[xor(c & 255, b) + 1]))) % 10000 AS bucket FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM words UNION SELECT word FROM target_words)), rests)"""
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -118,6 +137,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": """
@@ -136,5 +158,29 @@ boilerplate AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_md5
 FROM judged GROUP BY doc_id
+""",
+    "op11_importance_resampling": f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_SQL}')) AS word FROM documents
+), target_words AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_SQL}')) AS word FROM benchmark
+), {_CRC_SQL},
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM words JOIN crcs USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM target_words JOIN crcs USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000)) / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weights AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(floor(total / n), 0)::BIGINT AS weight FROM documents
+  LEFT JOIN (SELECT doc_id, count(*) AS n, sum(gain)::DOUBLE AS total FROM words JOIN crcs USING (word) JOIN gains USING (bucket) GROUP BY doc_id) USING (doc_id)
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weights
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+""",
+    "op12_exact_dedup": r"""
+WITH bare AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER same = 1 AS kept, sha256(bare) AS text_sha256
+FROM bare WINDOW same AS (PARTITION BY bare ORDER BY chars DESC, doc_id)
 """,
 }
