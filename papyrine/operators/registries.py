@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.identifiers import SAFE_INTEGER, number_of_digits
 from papyrine.functions.names import holds_phrase, name_matches, normalized_name, tokens_of
+from papyrine.operators.numbering import PLACE
+from papyrine.operators.postings import NameIndex
 from papyrine.workspace import written
 
 # Sources in order, the search fields that each carries, and lookup keys in order.
@@ -99,20 +101,33 @@ def source_filter(source: str, query: Query, whole: bool = False) -> Column:
     return out
 
 
-def search(tables: Mapping[str, DataFrame], query: Query, limit: int = RESULT_LIMIT) -> DataFrame:
+def search(tables: Mapping[str, DataFrame], query: Query, limit: int = RESULT_LIMIT, whole: bool = False, indexes: Mapping[str, NameIndex] | None = None) -> DataFrame:
     """(source, position, total, name_only, record) of the query over every loaded source that
     carries all its fields; at most ``limit`` rows a source, sources with rows first by the
-    order of ``group_position``. ``record`` is the row as JSON."""
+    order of ``group_position``. ``record`` is the row as JSON.
+
+    A source with an index answers names from it; only the others read all names."""
     searched = [s for s in applicability(query)[0] if s in tables] if query.valid else []
     parts = []
     for i, source in enumerate(searched):
-        rows = tables[source].filter(source_filter(source, query))
-        shown = [c for c in rows.columns if c not in ("tokens", "ids")]
+        name_only = source.startswith("nbctf_") and bool(query.name) and query.id is None
+        if query.name and source in (indexes or {}):
+            index = indexes[source]
+            found = index.matches(query.name, whole)
+            if query.id is not None:
+                numbered = index.records.filter(source_filter(source, Query(id=query.id))).select(F.col(PLACE).alias("record"))
+                found = numbered.join(found, "record", "left_semi")
+            rows, n = index.first_records(found, limit)
+        else:
+            rows, n = tables[source].filter(source_filter(source, query, whole)), None
+        shown = [c for c in tables[source].columns if c not in ("tokens", "ids")]
         ranked = rows.orderBy(*ORDER[source]).limit(limit).select(F.to_json(F.struct(*shown)).alias("record"), *ORDER[source])
         place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*ORDER[source]))  # at most `limit` rows
-        total = rows.agg(F.count("*").alias("total"))  # one row
-        name_only = source.startswith("nbctf_") and bool(query.name) and query.id is None
-        ranked = ranked.withColumn("position", place).join(F.broadcast(total))
+        ranked = ranked.withColumn("position", place)
+        if n is None:
+            ranked = ranked.join(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+        else:
+            ranked = ranked.withColumn("total", F.lit(n).cast("long"))
         parts.append(ranked.select(F.lit(i).alias("group_position"), F.lit(source).alias("source"), "position", "total", F.lit(name_only).alias("name_only"), "record"))
     if not parts:
         spark = next(iter(tables.values())).sparkSession
@@ -164,17 +179,33 @@ def _level(source: str, today: Column) -> Column:
     return F.when(alert, "alert").otherwise("info")
 
 
-def _rarest_tokens(people: DataFrame, by_token: DataFrame) -> DataFrame:
-    """``people`` with ``_w``, the token of the name that the fewest records have; names with a token
-    that no record has are left out. A written table, so Spark knows the vocabulary's size."""
-    held = written(by_token.groupBy("_w").agg(F.count("*").alias("_n")), "token-counts")
-    tokens = F.array_distinct(F.flatten(F.transform("words", tokens_of)))
-    every = people.select("document_id", "pos", F.size(tokens).alias("_size"), F.explode(tokens).alias("_w")).join(held, "_w")
+def _rarest_tokens(people: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``people`` with ``phrases``, the tokens of each of its words, and ``_w``, the token of the name that
+    the fewest records have; names with a token that no record has are left out."""
+    split = written(people.withColumn("phrases", F.transform("words", tokens_of)), "name-lookups")
+    tokens = F.array_distinct(F.flatten("phrases"))
+    every = split.select("document_id", "pos", F.size(tokens).alias("_size"), F.explode(tokens).alias("_w")).join(vocabulary.select(F.col("token").alias("_w"), F.col("records").alias("_n")), "_w")
     one = every.groupBy("document_id", "pos").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"), F.count("*").alias("_found"), F.first("_size").alias("_size"))
-    return people.join(one.filter("_found = _size").select("document_id", "pos", "_w"), ["document_id", "pos"])
-
-
-def screen(payloads: DataFrame, tables: Mapping[str, DataFrame], today: Column) -> DataFrame:
+    return split.join(one.filter("_found = _size").select("document_id", "pos", "_w"), ["document_id", "pos"])
+
+
+def _named(people: DataFrame, source: str, levelled: DataFrame, index: NameIndex | None) -> DataFrame:
+    """Name lookups with the records that hold every word whole: from the index where the source has
+    one, else from the tokens of all its rows, exploded once."""
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in ORDER[source]]).alias("record_key")
+    held = ["record_key", "level", F.col(ORDER[source][0]).alias("_o0"), "tokens"]
+    if index is None:
+        by_token = levelled.select(key, "level", "tokens", F.explode(F.array_distinct("tokens")).alias("_w"), F.col(ORDER[source][0]).alias("_o0"))
+        vocabulary = written(by_token.groupBy(F.col("_w").alias("token")).agg(F.count("*").alias("records")), "token-counts")
+        found = _rarest_tokens(people, vocabulary).join(by_token, "_w")
+    else:
+        places = index.postings.select(F.col("token").alias("_w"), F.col("record").alias(PLACE)).distinct()
+        rows = levelled.withColumn("record_key", key).select(PLACE, *held)
+        found = _rarest_tokens(people, index.vocabulary).join(places, "_w").join(rows, PLACE)
+    return found.filter(F.forall("phrases", lambda p: holds_phrase(F.col("tokens"), p, F.lit(True))))
+
+
+def screen(payloads: DataFrame, tables: Mapping[str, DataFrame], today: Column, indexes: Mapping[str, NameIndex] | None = None) -> DataFrame:
     """(document_id, field, by, pos, source, row_pos, level, record_key) of every match: each
     lookup against every loaded source that carries it, at most ``MATCH_LIMIT`` rows a lookup
     and source.
@@ -184,7 +215,8 @@ def screen(payloads: DataFrame, tables: Mapping[str, DataFrame], today: Column)
     wanted = written(lookups(payloads), "lookups")
     parts = []
     for i, (source, table) in enumerate((s, tables[s]) for s in CARRIED if s in tables):
-        levelled = table.withColumn("level", _level(source, today))
+        index = (indexes or {}).get(source)
+        levelled = (table if index is None else index.records).withColumn("level", _level(source, today))
         key = F.concat_ws("/", *[F.col(c).cast("string") for c in ORDER[source]])
         if source == "boi_accounts":
             rows = levelled.select(key.alias("record_key"), "level", "bank", "branch", "account", *[F.col(c).alias(f"_o{n}") for n, c in enumerate(ORDER[source])])
@@ -195,9 +227,7 @@ def screen(payloads: DataFrame, tables: Mapping[str, DataFrame], today: Column)
             by_id = levelled.select(key.alias("record_key"), "level", number, order)
             found = [wanted.filter(F.col("by") == "id").drop("bank", "branch", "account").join(by_id, "id")]
             if source == "nbctf_individuals":
-                by_token = levelled.select(key.alias("record_key"), "level", "tokens", F.explode(F.array_distinct("tokens")).alias("_w"), order)
-                named = _rarest_tokens(wanted.filter(F.col("by") == "name"), by_token).join(by_token, "_w").filter(F.forall("words", lambda w: holds_phrase(F.col("tokens"), tokens_of(w), F.lit(True))))
-                found.append(named)
+                found.append(_named(wanted.filter(F.col("by") == "name"), source, levelled, index))
         columns = ["document_id", "field", "by", "pos", "level", "record_key"]
         orders = [f"_o{n}" for n in range(len(ORDER[source]))]
         for rows in found:

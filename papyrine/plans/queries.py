@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import amounts, calendar, geometry, identifiers, names
 from papyrine.operators import merge, registries, request_log, triage, validation
+from papyrine.operators.postings import NameIndex
 from papyrine.plans.adapters import MODELS, oracle, view
 from papyrine.streaming import limits, stages
+from papyrine.workspace import written
 
 NOW = "2024-01-31 00:00:00"
 WINDOW = "10 MINUTES"
@@ -235,14 +237,19 @@ def transcripts_degenerate(spark, sf_dir):
 
 
 def registry_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The registries with tokens and numbers, as a loader writes them."""
+    """The registries with tokens and numbers, written as a loader writes them."""
     people = view(spark, sf_dir, "nbctf_individuals")
-    return {
+    tables = {
         "boi_accounts": view(spark, sf_dir, "boi_accounts"),
         "boi_severe": view(spark, sf_dir, "boi_severe").withColumn("tokens", names.name_tokens(F.col("name"))),
         "nbctf_individuals": people.withColumns({"tokens": names.name_tokens(F.col("name_en")), "ids": identifiers.long_numbers(F.col("id_text"))}),
         "companies": view(spark, sf_dir, "companies").withColumn("tokens", names.name_tokens(F.col("name_en"))),
     }
+    return {source: table if source == "boi_accounts" else written(table, source) for source, table in tables.items()}
+
+
+def name_indexes(tables: dict[str, DataFrame], *sources: str) -> dict[str, NameIndex]:
+    return {s: NameIndex.build(tables[s], [F.col("tokens")], registries.ORDER[s]) for s in sources}
 
 
 @query(
@@ -253,12 +260,46 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     "companies",
 )
 def registry_search_names(spark, sf_dir):
-    tables = registry_tables(spark, sf_dir)
-    found = registries.search({s: tables[s] for s in ("boi_severe", "companies")}, registries.Query.parsed({"name": "supplier 00000000"}))
-    key = F.coalesce(F.get_json_object("record", "$.id_number"), F.get_json_object("record", "$.number")).cast("bigint")
+    return searched_names(spark, sf_dir, ("boi_severe", "companies"), "supplier 00000000")
+
+
+def searched_names(spark, sf_dir, sources, name, whole=False):
+    """(source, position, total, key) of a name search over posting indexes."""
+    tables = {s: names_only(spark, sf_dir, s) for s in sources}
+    found = registries.search(tables, registries.Query.parsed({"name": name}), whole=whole, indexes=name_indexes(tables, *sources))
+    key = F.coalesce(*[F.get_json_object("record", f"$.{c}") for c in ("id_number", "number", "seq")]).cast("bigint")
     return found.select("source", "position", "total", key.alias("key"))
 
 
+def names_only(spark, sf_dir, source):
+    column = "name" if source == "boi_severe" else "name_en"
+    return view(spark, sf_dir, source).withColumn("tokens", names.name_tokens(F.col(column)))
+
+
+@query(
+    """SELECT * FROM (
+  SELECT 'nbctf_individuals' AS source, seq AS key, CAST(row_number() OVER (ORDER BY seq) AS INT) AS position, count(*) OVER () AS total FROM nbctf_individuals WHERE regexp_matches(name_en, '^Person MACHINERY ') AND contains(name_en, '#00000')
+  UNION ALL SELECT 'companies', number, CAST(row_number() OVER (ORDER BY number) AS INT), count(*) OVER () FROM companies WHERE false) WHERE position <= 50""",
+    "nbctf_individuals",
+    "companies",
+)
+def registry_search_phrases(spark, sf_dir):
+    """A phrase whose last token is the beginning of one, and a word with a token after it in the name."""
+    return searched_names(spark, sf_dir, ("nbctf_individuals", "companies"), "machinery/customer/00000 person")
+
+
+@query(
+    """SELECT * FROM (
+  SELECT 'companies' AS source, number AS key, CAST(row_number() OVER (ORDER BY number) AS INT) AS position, count(*) OVER () AS total FROM companies WHERE regexp_matches(lower(name_en), '(^|[^a-z0-9])united kingdom([^a-z0-9]|$)') AND contains(name_en, 'ACME')
+  UNION ALL SELECT 'boi_severe', id_number, CAST(row_number() OVER (ORDER BY id_number) AS INT), count(*) OVER () FROM boi_severe WHERE false) WHERE position <= 50""",
+    "boi_severe",
+    "companies",
+)
+def registry_search_whole(spark, sf_dir):
+    """Whole words only: a token that goes on is no hit."""
+    return searched_names(spark, sf_dir, ("boi_severe", "companies"), "united.kingdom acme", whole=True)
+
+
 @query(
     """SELECT source, position, total FROM (SELECT 'boi_accounts' AS source, CAST(row_number() OVER (ORDER BY bank, branch, account) AS INT) AS position, count(*) OVER () AS total FROM boi_accounts WHERE account = 40 AND bank IS NOT NULL)""",
     "boi_accounts",
@@ -288,7 +329,8 @@ def screening_payloads(spark, sf_dir):
 
 @query(f"WITH {_MATCHES} SELECT * FROM m", *_REGISTRIES)
 def registry_screening(spark, sf_dir):
-    found = registries.screen(screening_payloads(spark, sf_dir), registry_tables(spark, sf_dir), F.lit(TODAY))
+    tables = registry_tables(spark, sf_dir)
+    found = registries.screen(screening_payloads(spark, sf_dir), tables, F.lit(TODAY), name_indexes(tables, "nbctf_individuals"))
     return found.select("document_id", "field", "by", "source", "level", "record_key")
 
 

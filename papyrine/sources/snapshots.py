@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyrine.operators.postings import NameIndex
+
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -51,8 +53,9 @@ class SnapshotStore:
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         return options
 
-    def refresh(self, source: str, load: Callable[[], tuple[DataFrame, str | None]]) -> dict:
-        """Load a new generation and flip to it; an error or no rows keeps the old one."""
+    def refresh(self, source: str, load: Callable[[], tuple[DataFrame, str | None]], index: Callable[[DataFrame, str], NameIndex] | None = None) -> dict:
+        """Load a new generation and flip to it; an error or no rows keeps the old one. ``index`` writes
+        the generation's name index, given its rows and the index's path, before the pointer flips."""
         before = self.status(source)
         self._put(source, before | {"status": "running"})
         generation = (before["generation"] or 0) + 1
@@ -64,6 +67,9 @@ class SnapshotStore:
             count = self.spark.read.parquet(path).count()
             if not count:
                 raise ValueError("no rows")
+            if index is not None:
+                self._fs().delete(self._path(source, f"index-{generation}"), True)  # what a failed refresh left
+                index(self.spark.read.parquet(path), f"{self.root}/{source}/index-{generation}")
             record = {"source": source, "status": "ok", "generation": generation, "data_date": date, "row_count": count, "duration_ms": int(1000 * (time.time() - began)), "error": None}
         except Exception as error:  # the loaders' errors are the source's status
             record = before | {"status": "error", "error": str(error).splitlines()[0][:500]}
@@ -94,6 +100,18 @@ class SnapshotStore:
         generation = self.status(source)["generation"]
         return None if generation is None else self.spark.read.parquet(f"{self.root}/{source}/gen={generation}")
 
+    def index(self, source: str) -> NameIndex | None:
+        """The name index of the current generation, or None where it has none."""
+        generation = self.status(source)["generation"]
+        if generation is None or not self._fs().exists(self._path(source, f"index-{generation}", "vocabulary", "_SUCCESS")):
+            return None
+        return NameIndex.read(self.spark, f"{self.root}/{source}/index-{generation}")
+
+    def indexes(self, sources: list[str]) -> dict[str, NameIndex]:
+        """Name indexes of the sources that have one, as search and screening take them."""
+        found = {s: self.index(s) for s in sources}
+        return {s: index for s, index in found.items() if index is not None}
+
     def tables(self, sources: list[str]) -> dict[str, DataFrame]:
         """Loaded sources only, as search and screening take them."""
         found = {s: self.read(s) for s in sources}
@@ -104,3 +122,4 @@ class SnapshotStore:
         current = self.status(source)["generation"] or 0
         for n in range(1, current - 1):
             self._fs().delete(self._path(source, f"gen={n}"), True)
+            self._fs().delete(self._path(source, f"index-{n}"), True)

@@ -38,9 +38,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/papyrine/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
-    path = fresh_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, or at ``path``, and read back."""
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
