@@ -34,7 +34,7 @@ BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS = 20
 DRAWN_PERCENT = 10
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 1_000_000
 #: Bytes of a text to those of its words: lower case, and a blank for all that is no part of a word.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: A block's row has ``words``, ``tuples`` of two words and more, and ``totals`` of words and then of tuples; a
@@ -59,12 +59,12 @@ class _Block:
         found = text.translate(_TABLE).split()
         self.keys.append(key)
         self.sizes.append(len(found))
-        self.ids.append(np.fromiter(map(self.words.__getitem__, found), np.int64, len(found)))
+        self.ids.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
         self.size += len(found) + 1
 
     def coded(self, max_n: int, schema: pa.Schema) -> pa.RecordBatch:
         """A row for each text, and one for the block."""
-        ids, of_text = np.concatenate(self.ids), np.repeat(np.arange(len(self.keys)), self.sizes)
+        ids, of_text = np.concatenate(self.ids).astype(np.int64), np.repeat(np.arange(len(self.keys)), self.sizes)
         grams, texts, tuples, known = [], [], [], 0
         level, level_tuples = ids, np.arange(len(self.words))[:, None]
         for n in range(1, max_n + 1):
@@ -105,7 +105,7 @@ class _Block:
 
 def coded(self, max_n: int, schema: pa.Schema) -> pa.RecordBatch:
         """A row for each text, and one for the block."""
-        ids, of_text = np.concatenate(self.ids), np.repeat(np.arange(len(self.keys)), self.sizes)
+        ids, of_text = np.concatenate(self.ids).astype(np.int64), np.repeat(np.arange(len(self.keys)), self.sizes)
         grams, texts, tuples, known = [], [], [], 0
         level, level_tuples = ids, np.arange(len(self.words))[:, None]
         for n in range(1, max_n + 1):
@@ -149,13 +149,13 @@ def coded(docs: DataFrame, target: DataFrame, max_n: int, key: str, text: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, block = TaskContext.get().partitionId() << 33, None
         for batch in batches:
-            for of_target, k, content in zip(*[c.to_pylist() for c in batch.columns]):
+            for of_target, k, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if block and (block.target != of_target or block.size > BLOCK_WORDS):
                     yield block.coded(max_n, schema)
                     block = None
                 if block is None:
                     made, block = made + 1, _Block(made, of_target)
-                block.add(k, content)
+                block.add(k, content.as_py())
         if block:
             yield block.coded(max_n, schema)
 
