@@ -51,6 +51,11 @@ def terms_of(spark: SparkSession, words: list[str], whole: bool) -> list[list[Te
     return [[Term(r.at, i, t, i == len(r.t) - 1 and not whole) for i, t in enumerate(r.t)] for r in sorted(split.collect())]
 
 
+def _occurrences(tokens: Column, first: int) -> Column:
+    held = F.coalesce(tokens, F.array().cast("array<string>"))
+    return F.transform(held, lambda t, i: F.struct((i + first).alias("position"), t.alias("token")))
+
+
 @dataclass(frozen=True)
 class NameIndex:
     """The index of one table; ``records`` has the table's columns and ``_place``."""
@@ -67,8 +72,7 @@ class NameIndex:
         path = path or fresh_path(spark, "name-index")
         placed(table, *order, path=f"{path}/records")
         records = spark.read.parquet(f"{path}/records")
-        at = lambda i, t, k: F.struct((k + i * NAME_GAP).alias("position"), t.alias("token"))
-        names = [F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda t, k, i=i: at(i, t, k)) for i, t in enumerate(tokens)]
+        names = [_occurrences(t, i * NAME_GAP) for i, t in enumerate(tokens)]
         every = records.select(F.col(PLACE).alias("record"), F.inline(F.concat(*names))).select("token", "record", "position")
         every.repartitionByRange("token", "record", "position").sortWithinPartitions("token", "record", "position").write.parquet(f"{path}/postings")
         counts = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("token").agg(F.count_distinct("record").alias("records"))

@@ -290,14 +290,14 @@ def registry_search_phrases(spark, sf_dir):
 
 @query(
     """SELECT * FROM (
-  SELECT 'companies' AS source, number AS key, CAST(row_number() OVER (ORDER BY number) AS INT) AS position, count(*) OVER () AS total FROM companies WHERE regexp_matches(lower(name_en), '(^|[^a-z0-9])united kingdom([^a-z0-9]|$)') AND contains(name_en, 'ACME')
+  SELECT 'companies' AS source, number AS key, CAST(row_number() OVER (ORDER BY number) AS INT) AS position, count(*) OVER () AS total FROM companies WHERE regexp_matches(name_en, '^ACME .* NATION_1$')
   UNION ALL SELECT 'boi_severe', id_number, CAST(row_number() OVER (ORDER BY id_number) AS INT), count(*) OVER () FROM boi_severe WHERE false) WHERE position <= 50""",
     "boi_severe",
     "companies",
 )
 def registry_search_whole(spark, sf_dir):
     """Whole words only: a token that goes on is no hit."""
-    return searched_names(spark, sf_dir, ("boi_severe", "companies"), "united.kingdom acme", whole=True)
+    return searched_names(spark, sf_dir, ("boi_severe", "companies"), "nation_1 acme", whole=True)
 
 
 @query(

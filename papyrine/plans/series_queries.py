@@ -17,7 +17,7 @@ def events_of(spark, sf_dir):
 
 @query(
     """SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS user_seq,
-  epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS t FROM events"""
+  epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS t FROM events"""
 )
 def stage_numbers(spark, sf_dir):
     """Running numbers over all events and those of each user, and the clock since a user's first."""
@@ -34,7 +34,7 @@ ZONE, FIRST_DAY, LAST_DAY = "Asia/Jerusalem", "2023-12-31", "2024-02-01"
 j AS (SELECT r.*, n, due FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup') r ASOF LEFT JOIN dues ON r.ts >= due),
 p AS (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY ts, event_id) = 1 AND n IS NOT NULL AS is_first FROM j),
 f AS (SELECT user_id, n, coalesce(n - lag(n) OVER (PARTITION BY user_id ORDER BY n) - 1, 0) AS missed FROM p WHERE is_first)
-SELECT event_id, p.n AS due_n, epoch_ms(ts) - epoch_ms(due) AS delay_ms, is_first AS first, CASE WHEN is_first THEN missed END AS coalesced FROM p LEFT JOIN f ON p.user_id = f.user_id AND p.n = f.n"""
+SELECT event_id, p.n AS due_n, epoch_us(ts) // 1000 - epoch_us(due) // 1000 AS delay_ms, is_first AS first, CASE WHEN is_first THEN missed END AS coalesced FROM p LEFT JOIN f ON p.user_id = f.user_id AND p.n = f.n"""
 )
 def runs_answered(spark, sf_dir):
     """Each user's runs against the daily instants: 03:00 in a zone two hours ahead in January."""
@@ -75,8 +75,8 @@ def staged_events(spark, sf_dir):
     """WITH n AS (SELECT *, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS ended FROM events),
 b AS (SELECT *, ended IS NULL OR event_id < ended AS counts FROM n), s AS (
   SELECT user_id, any_value(ended) IS NULL AS done, count(*) FILTER (counts AND event_type = 'view') AS classified, count(*) FILTER (counts AND event_type = 'click') AS read_count,
-    count(*) FILTER (counts AND event_type = 'purchase') AS n_notes, max(epoch_ms(ts)) FILTER (counts AND event_type = 'click') AS last_read, max(epoch_ms(ts)) AS last_ms,
-    max(epoch_ms(ts)) FILTER (counts AND event_type = 'view') AS last_view FROM b GROUP BY user_id)
+    count(*) FILTER (counts AND event_type = 'purchase') AS n_notes, max(epoch_us(ts) // 1000) FILTER (counts AND event_type = 'click') AS last_read, max(epoch_us(ts) // 1000) AS last_ms,
+    max(epoch_us(ts) // 1000) FILTER (counts AND event_type = 'view') AS last_view FROM b GROUP BY user_id)
 SELECT CAST(user_id AS STRING) AS request_id, CASE WHEN done THEN 'done' ELSE 'error' END AS stage, CAST(classified AS INT) AS classified, CAST(read_count AS INT) AS read_count, CAST(n_notes AS INT) AS n_notes,
   CASE WHEN last_view IS NOT NULL THEN 0 END AS classify_ms, CASE WHEN last_read IS NOT NULL THEN 0 END AS read_ms, CASE WHEN done THEN last_ms - coalesce(last_read, last_ms) END AS merge_ms,
   CASE WHEN NOT done THEN 'UPSTREAM' END AS error, CASE WHEN NOT done THEN CASE WHEN read_count > 0 THEN 'merging' ELSE 'uploading' END END AS error_stage FROM s"""
@@ -90,7 +90,7 @@ def stage_stream(spark, sf_dir):
     read = spark.readStream.format("ndjson_chunks").load(path)
     events = read.select(F.col("stream").alias("request_id"), F.from_json("value", _EVENT).alias("e")).select("request_id", "e.*")
     out = fresh_path(spark, "stage-summaries")
-    with keyed.use_rocksdb(spark):
+    with keyed.use_rocksdb(spark, drain=True):
         told = keyed.progress_stream(events, 3_600_000).writeStream.format("parquet").option("checkpointLocation", fresh_path(spark, "stage-checkpoint"))
         told.trigger(availableNow=True).start(out).awaitTermination()
     columns = ["request_id", "stage", "classified", "read_count", "n_notes", "classify_ms", "read_ms", "merge_ms", "error", "error_stage"]

@@ -103,8 +103,7 @@ class _Read:
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.clean = options.get("clean", "false").lower() == "true"
-        self.a_task = int(options.get("streamsPerTask", STREAMS_A_TASK))
-        self.chunks_a_trigger = int(options.get("maxChunksPerTrigger", 0))
+        self.a_task = int(options.get("streamspertask", STREAMS_A_TASK))
 
     def read(self, partition: Ranges) -> Iterator[tuple[str, int, int, str]]:
         folder = _Folder(self.path)
@@ -122,27 +121,13 @@ class ChunkReader(_Read, DataSourceReader):
 class ChunkStreamReader(_Read, DataSourceStreamReader):
     """Offsets are {stream: [chunks taken, closed]}."""
 
-    def __init__(self, options: dict[str, str]):
-        super().__init__(options)
-        self.taken: dict = {}
-
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        found = _Folder(self.path).found()
-        if not self.chunks_a_trigger:
-            self.taken = {s: [n, closed] for s, (n, closed) in found.items()}
-        else:  # so many more of each stream than was taken
-            out = {}
-            for s, (n, closed) in found.items():
-                upto = min(n, self.taken.get(s, [0])[0] + self.chunks_a_trigger)
-                out[s] = [upto, closed and upto == n]
-            self.taken = out
-        return self.taken
+        return {s: [n, closed] for s, (n, closed) in _Folder(self.path).found().items()}
 
     def partitions(self, start: dict, end: dict) -> list[Ranges]:
-        self.taken = self.taken or end
         new = []
         for stream, (n, closed) in sorted(end.items()):
             had, was_closed = start.get(stream, (0, False))
@@ -163,7 +148,7 @@ class ChunkWriter(DataSourceWriter):
     ``chunkBytes`` bytes whatever stands there. A task that runs again writes the same files again."""
 
     def __init__(self, options: dict[str, str], schema: StructType):
-        self.path, self.bytes = options["path"], int(options.get("chunkBytes", CHUNK_BYTES))
+        self.path, self.bytes = options["path"], int(options.get("chunkbytes", CHUNK_BYTES))
         self.at = schema.fieldNames().index("stream"), schema.fieldNames().index("value")
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
@@ -196,7 +181,7 @@ class ChunkWriter(DataSourceWriter):
 
 class NdjsonChunks(DataSource):
     """``spark.read`` or ``readStream.format("ndjson_chunks").load(path)``; options ``clean``,
-    ``streamsPerTask``, ``maxChunksPerTrigger``, and ``chunkBytes`` for writing."""
+    ``streamsPerTask``, and ``chunkBytes`` for writing."""
 
     @classmethod
     def name(cls) -> str:
@@ -205,14 +190,17 @@ class NdjsonChunks(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def _plain(self) -> dict[str, str]:
+        return {k.lower(): v for k, v in self.options.items()}
+
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ChunkReader(dict(self.options))
+        return ChunkReader(self._plain())
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return ChunkStreamReader(dict(self.options))
+        return ChunkStreamReader(self._plain())
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ChunkWriter(dict(self.options), schema)
+        return ChunkWriter(self._plain(), schema)
 
 
 def register(spark: SparkSession) -> None:

@@ -19,19 +19,24 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from papyrine.streaming import limits, stages
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
 
 
 @contextmanager
-def use_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def use_rocksdb(spark: SparkSession, drain: bool = False) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB. With ``drain`` they run no batches without
+    data: an available-now query with timers would never end otherwise. Timers fire in the others."""
+    settings = {PROVIDER: ROCKSDB, NO_DATA_BATCHES: str(not drain).lower()}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _plain(value: Any) -> Any:
@@ -162,11 +167,11 @@ class TokenBuckets(StatefulProcessor):
 
     Requests of a batch are taken by their moment; one earlier than the bucket's last is taken at that."""
 
-    def __init__(self, per_minute: int):
-        self.per_minute = per_minute
+    def __init__(self, per_minute: int, keep_ms: int = limits.MINUTE_MS):
+        self.per_minute, self.keep_ms = per_minute, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, at long", limits.MINUTE_MS)
+        self.bucket = handle.getValueState("bucket", "tokens double, at long", self.keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = dict(zip(("tokens", "at"), self.bucket.get())) if self.bucket.exists() else limits._full()
@@ -223,9 +228,9 @@ def progress_stream(events: DataFrame, idle_ms: int) -> DataFrame:
     return _with_state(events, "request_id", RequestStages(idle_ms), stages.SUMMARY)
 
 
-def token_bucket_stream(requests: DataFrame, per_minute: int) -> DataFrame:
+def token_bucket_stream(requests: DataFrame, per_minute: int, keep_ms: int = limits.MINUTE_MS) -> DataFrame:
     """(key, request, allowed, retry_after_s) of a stream of requests (key, at_ms, request)."""
-    return _with_state(requests, "key", TokenBuckets(per_minute), limits.BUCKET)
+    return _with_state(requests, "key", TokenBuckets(per_minute, keep_ms), limits.BUCKET)
 
 
 def reservation_stream(events: DataFrame, cap: int, window_ms: int) -> DataFrame:
