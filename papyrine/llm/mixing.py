@@ -8,12 +8,17 @@ error weighed by the inverse of its own curvature and Nesterov's momentum. Dista
 between rates are weighed by tokens, so a document's step depends on its posterior
 alone and a few very long documents do not slow the others. The step length is the
 inverse of the largest eigenvalue of the domains' curvature; the fit ends when the
-targets are met or when a step moves nothing any more, where no rates meet them, which
-a warning reports. A step needs a few numbers a domain from the whole corpus, which
+targets are met, when a step moves nothing any more or, where no rates meet them, after
+``STEPS`` steps; a warning reports what is missing. A step needs a few numbers a domain from the whole corpus, which
 Spark sums; a task replays the steps for its documents from those few numbers, so no
 rates are stored between steps. Expected tokens of all domains together stay those of
 the corpus.
 
+The first steps weigh the domains' errors by the inverse of the whole curvature matrix of
+the documents that have a rate above zero: such a step meets the targets at once unless it
+takes rates to zero, so a few steps mostly end the fit. A step that brings the totals no nearer
+is taken back and halved; where that leads nowhere, the slower steps above take over.
+
 Features of the classifier are the distinct lower-case words of a text and the
 character pairs with a symbol, hashed into ``2**BITS`` places. It is fitted on at most
 ``MAX_LABELLED`` labelled rows, those with the smallest hash of the key. Only telling
@@ -45,8 +50,12 @@ LEAST_ROWS = 5
 #: Chi-square, one degree of freedom: chance passes it for less than one place in a million.
 TELLING = 25.0
 #: The error of a share of tokens that ends the rate fit, the share of tokens that a settled fit
-#: still moves in a step, and the steps after which a fit that does neither is an error.
-TOLERANCE, STILL, STEPS = 1e-4, 1e-7, 2_000
+#: still moves in a step, and the steps after which rates that are still drawing nearer to targets out
+#: of reach are taken as they are.
+TOLERANCE, STILL, STEPS = 1e-4, 1e-7, 200
+#: Passes of the first steps, the part of the largest curvature below which a direction counts as none,
+#: and the part of a step below which halving it leads nowhere.
+QUICK_STEPS, LEAST_CURVATURE, LEAST_SHARE = 40, 1e-6, 1e-3
 
 
 def hashed_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,23 +183,28 @@ def _replayed(shares: np.ndarray, history: list[tuple[float, np.ndarray]]) -> tu
     return rate, point, before
 
 
-def _domain_sums(measured: DataFrame, history: list[tuple[float, np.ndarray]], scale: float, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expected load of each domain at the rates and at the next gradient's point, and the share
-    of the corpus's tokens that the last step moved, over all documents."""
+def _domain_sums(measured: DataFrame, history: list[tuple[float, np.ndarray]], scale: float, k: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Expected load of each domain at the rates and at the next gradient's point, the share of the
+    corpus's tokens that the last step moved, and the curvature of the documents with a rate, over
+    all documents."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * k + 1)
+        total = np.zeros(2 * k + 1 + k * k)
         for batch in batches:
             shares, size = _shares(batch)
-            rate, point, before = _replayed(shares, history)
-            size = size / scale
-            total += np.concatenate(((rate * size) @ shares, (point * size) @ shares, [np.abs(rate - before) @ size]))
+            total += _batch_sums(shares, size / scale, history)
         yield pd.DataFrame({"place": range(len(total)), "load": total})
 
     sums = measured.select("n_tokens", "posterior").mapInPandas(partial, "place int, load double")
     rows = sums.groupBy("place").agg(F.sum("load").alias("load")).orderBy("place").collect()
     found = np.array([r["load"] for r in rows])
-    return found[:k], found[k:-1], float(found[-1])
+    return found[:k], found[k : 2 * k], float(found[2 * k]), found[2 * k + 1 :].reshape(k, k)
+
+
+def _batch_sums(shares: np.ndarray, size: np.ndarray, history: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    rate, point, before = _replayed(shares, history)
+    curvature = (shares * (size * (rate > 0))[:, None]).T @ shares
+    return np.concatenate(((rate * size) @ shares, (point * size) @ shares, [np.abs(rate - before) @ size], curvature.ravel()))
 
 
 def _shares(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +216,8 @@ def _shares(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def fit_rates(measured: DataFrame, targets: np.ndarray) -> tuple[list[tuple[float, np.ndarray]], float]:
     """(steps, largest error of a domain's share of tokens): what :func:`with_rates` replays.
 
-    Stops where the targets are met or where a step moves nothing any more. Raises an error
-    where neither comes in ``STEPS`` steps."""
+    Stops where the targets are met, where a step moves nothing any more, or after ``STEPS`` plain steps
+    towards targets out of reach; what the totals then lack is the second result."""
     k = len(targets)
     tokens, p = F.col("n_tokens").cast("double"), [F.col("posterior")[i] for i in range(k)]
     pairs = [F.sum(tokens * p[i] * p[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(k)]
@@ -216,15 +230,47 @@ def fit_rates(measured: DataFrame, targets: np.ndarray) -> tuple[list[tuple[floa
     weight = np.where(own > 0, 1 / np.where(own > 0, own, 1), 0.0)
     # the inverse of the largest eigenvalue: no step can be too bold
     step = 1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * curvature * np.sqrt(weight))[-1]
-    history, previous, run = [], np.inf, 0
+    sums = lambda history: _domain_sums(measured, history, scale, k)
+    history, residual = _quick_steps(sums, targets, weight)
+    if residual < TOLERANCE:
+        return history, residual
+    return _plain_steps(sums, targets, weight, step)
+
+
+def _quick_steps(sums: Callable[[list], tuple], targets: np.ndarray, weight: np.ndarray) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """(steps, residual) of projected gradient with errors weighed by the inverse curvature of the documents
+    with a rate, until the targets are met or ``QUICK_STEPS`` passes are over."""
+    history: list[tuple[float, np.ndarray]] = []
+    loads, _, _, curvature = sums(history)
+    best, share = loads - targets, 1.0
+    for _ in range(QUICK_STEPS):
+        if np.abs(best).max() < TOLERANCE:
+            break
+        own, axes = np.linalg.eigh(curvature)
+        kept = own > LEAST_CURVATURE * max(own[-1], 0.0)
+        multipliers = axes[:, kept] @ ((axes[:, kept].T @ best) / own[kept])
+        tried = [*history, (0.0, share * multipliers)]
+        loads, _, moved, new_curvature = sums(tried)
+        error = loads - targets
+        if weight @ error**2 < weight @ best**2:
+            history, best, curvature, share = tried, error, new_curvature, min(1.0, 2 * share)
+        elif moved < STILL or share < LEAST_SHARE:
+            break
+        else:
+            share /= 2
+    return history, float(np.abs(best).max())
+
+
+def _plain_steps(sums: Callable[[list], tuple], targets: np.ndarray, weight: np.ndarray, step: float) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """(steps, residual) of accelerated projected gradient with each domain's error weighed alone."""
+    history: list[tuple[float, np.ndarray]] = []
+    previous, run = np.inf, 0
     while True:
-        rated, pointed, moved = _domain_sums(measured, history, scale, k)
+        rated, pointed, moved, _ = sums(history)
         error = rated - targets
         residual = float(np.abs(error).max())
-        if residual < TOLERANCE or history and moved < STILL:
+        if residual < TOLERANCE or run and moved < STILL or len(history) == STEPS:
             return history, residual
-        if len(history) == STEPS:
-            raise RuntimeError(f"the rates are not settled after {STEPS} steps: a domain's share of tokens is off by {residual:.2g}")
         loss = float(weight @ error**2)
         if loss > previous and run:  # overshot: momentum starts anew from the rates
             history[-1], run = (0.0, history[-1][1]), 0
@@ -237,7 +283,7 @@ def fit_rates(measured: DataFrame, targets: np.ndarray) -> tuple[list[tuple[floa
 def _fitted(measured: DataFrame, targets: dict[str, float]) -> list[tuple[float, np.ndarray]]:
     history, residual = fit_rates(measured, np.array(list(targets.values())) / sum(targets.values()))
     if residual >= TOLERANCE:
-        warnings.warn(f"no rates meet the targets: the nearest leave a domain's share of tokens off by {residual:.2g}", stacklevel=3)
+        warnings.warn(f"no rates meet the targets: the nearest found leave a domain's share of tokens off by {residual:.2g}", stacklevel=3)
     return history
 
 

@@ -357,6 +357,18 @@ def test_rates_report_targets_out_of_reach(spark):
     assert np.allclose([r.rate for r in found], 1.0)
 
 
+def test_rates_need_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    margins = rng.normal(0, 1.5, (2000, 3))
+    p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+    measured = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(rng.lognormal(6, 1.2, 2000) + 1, p))], "doc_id long, n_tokens long, posterior array<double>").cache()
+    passes, sums = [], mixing._domain_sums
+    monkeypatch.setattr(mixing, "_domain_sums", lambda *a: passes.append(1) or sums(*a))
+    found = mixing.with_rates(measured, {"clean": 0.90, "low": 0.08, "toxic": 0.02}).collect()
+    load = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in found) / sum(r.n_tokens for r in found)
+    assert np.allclose(load, (0.90, 0.08, 0.02), atol=2e-4) and min(r.rate for r in found) >= 0 and len(passes) <= 20
+
+
 def test_domain_posteriors(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = queries.domain_labels(spark, sf_dir)
