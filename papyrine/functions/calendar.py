@@ -3,59 +3,90 @@ and unreadable text must survive."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BLANKS = " \t\n\r\f\x0b"
+_DIGITS = "0123456789"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _two(text: Column) -> Column:
     return F.lpad(text, 2, "0")
 
 
+def _number(text: Column, *lengths: int) -> Column:
+    """Whether a part is all digits and as long as one of ``lengths``."""
+    return F.length(text).isin(*lengths) & (F.translate(text, _DIGITS, "") == "")
+
+
+def _shape(text: Column) -> Column:
+    """``text`` with 0 for every digit."""
+    return F.translate(text, _DIGITS, "0" * 10)
+
+
 def printed_date(text: Column) -> Column:
     """``D.M.YYYY`` to ISO and ``M.YYYY`` to an ISO month (also with / and -), without a range
     check; anything else is trimmed."""
-    day, month = r"^\s*([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})\s*$", r"^\s*([0-9]{1,2})[./-]([0-9]{4})\s*$"
-    g = lambda p, i: F.regexp_extract(text, p, i)
-    return (
-        F.when(text.rlike(day), F.concat_ws("-", g(day, 3), _two(g(day, 2)), _two(g(day, 1))))
-        .when(text.rlike(month), F.concat_ws("-", g(month, 2), _two(g(month, 1))))
-        .otherwise(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    )
+    bare = F.btrim(text, F.lit(_BLANKS))
+
+    def read(p: Column) -> Column:
+        whole = (F.size(p) == 3) & _number(p[0], 1, 2) & _number(p[1], 1, 2) & _number(p[2], 4)
+        month = (F.size(p) == 2) & _number(p[0], 1, 2) & _number(p[1], 4)
+        return F.when(whole, F.concat_ws("-", p[2], _two(p[1]), _two(p[0]))).when(month, F.concat_ws("-", p[1], _two(p[0])))
+
+    return F.coalesce(_let(F.split(F.translate(bare, "/-", ".."), "[.]"), read), bare)
+
+
+def _last_day(year: Column, month: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
 def cheque_date(text: Column) -> Column:
     """Handwritten ``D M YY`` or ``D M YYYY`` to ISO, two-digit years in the 2000s; impossible
     dates and other text are trimmed. February has 29 days."""
-    shape = r"^\s*([0-9]{1,2})\s*[./,\-\s]\s*([0-9]{1,2})\s*[./,\-\s]\s*([0-9]{2}|[0-9]{4})\s*$"
-    day, month, year = (F.regexp_extract(text, shape, i).try_cast("int") for i in (1, 2, 3))
-    full = F.when(year < 100, year + 2000).otherwise(year)
-    last = F.when(month == 2, 29).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    good = text.rlike(shape) & month.between(1, 12) & (day >= 1) & (day <= last)
-    return F.when(trimmed.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), trimmed).when(good, F.format_string("%04d-%02d-%02d", full, month, day)).otherwise(trimmed)
+    bare = F.btrim(text, F.lit(_BLANKS))
+
+    def read(p: Column) -> Column:
+        day, month, year = (p[i].try_cast("int") for i in range(3))
+        numbers = (F.size(p) == 3) & _number(p[0], 1, 2) & _number(p[1], 1, 2) & _number(p[2], 2, 4)
+        last = _last_day(F.lit(2000), month)  # any February may have 29 days
+        return F.when(numbers & month.between(1, 12) & day.between(1, last), F.concat_ws("-", F.when(F.length(p[2]) == 2, F.concat(F.lit("20"), p[2])).otherwise(p[2]), _two(p[1]), _two(p[0])))
+
+    parts = F.split(bare, r"\s*[./,-]\s*|\s+")  # one mark with blanks around it, or blanks alone
+    return F.when(_shape(bare) == "0000-00-00", bare).otherwise(F.coalesce(_let(parts, read), bare))
 
 
 def _possible(year: Column, month: Column, day: Column) -> Column:
-    """ISO text of a date that exists, from 1800 on; else null."""
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), _two(month), _two(day))
-    date = F.try_to_date(text, "yyyy-MM-dd")
-    return F.when(date >= F.lit("1800-01-01").cast("date"), date.cast("string"))
+    """ISO text of a date that exists, from 1800 on; else null. Parts are texts of digits."""
+    y, m, d = (x.try_cast("int") for x in (year, month, day))
+    good = (y >= 1800) & m.between(1, 12) & d.between(1, _last_day(y, m))
+    return F.when(good, F.concat_ws("-", F.lpad(year, 4, "0"), _two(month), _two(day)))
 
 
 def iso_from_yyyymmdd(text: Column) -> Column:
-    shape = r"^\s*([0-9]{4})([0-9]{2})([0-9]{2})\s*$"
-    return F.when(text.rlike(shape), _possible(*[F.regexp_extract(text, shape, i) for i in (1, 2, 3)]))
+    bare = F.btrim(text, F.lit(_BLANKS))
+    return F.when(_shape(bare) == "00000000", _let(bare, lambda x: _possible(F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))))
 
 
 def iso_from_yymmdd(text: Column) -> Column:
-    shape = r"^\s*([0-9]{2})([0-9]{2})([0-9]{2})\s*$"
-    parts = [F.regexp_extract(text, shape, i) for i in (1, 2, 3)]
-    return F.when(text.rlike(shape), _possible(F.concat(F.lit("20"), parts[0]), *parts[1:]))
+    bare = F.btrim(text, F.lit(_BLANKS))
+    return F.when(_shape(bare) == "000000", _let(bare, lambda x: _possible(F.concat(F.lit("20"), F.substring(x, 1, 2)), F.substring(x, 3, 2), F.substring(x, 5, 2))))
 
 
 def iso_from_dmy(text: Column) -> Column:
-    shape = r"^\s*([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\s*$"
-    return F.when(text.rlike(shape), _possible(*[F.regexp_extract(text, shape, i) for i in (3, 2, 1)]))
+    def read(p: Column) -> Column:
+        return F.when((F.size(p) == 3) & _number(p[0], 1, 2) & _number(p[1], 1, 2) & _number(p[2], 4), _possible(p[2], p[1], p[0]))
+
+    return _let(F.split(F.btrim(text, F.lit(_BLANKS)), "/"), read)
 
 
 def iso_from_sheet_serial(serial: Column) -> Column:
