@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,21 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (key_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Parts of made-up names of ordinary sites (fixed values): a consonant or two, a vowel, perhaps a consonant.
+ONSETS, VOWELS, CODAS = "b c d f g h j k l m n p r s t v w z bl br cl cr dr fl fr gl gr pl pr sc sh sl sm sn sp st str sw th tr wh ch".split(), "a e i o u ai ea ee ou".split(), ["", *"n r s t l m d nd nt st ng ck sh th".split()]
+ORDINARY_NAMES, PATHS_A_NAME = 4_000, 9
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """A small labelled table: each word alone and with others of its class in a host, and
-    plain syllable names as ordinary sites. Both classes have the same paths and domains."""
+    made-up names of two to four syllables as ordinary sites. Both classes have the same paths and domains."""
     rows = []
     for words, blocked in ((BLOCKED_WORDS, 1), (ALLOWED_WORDS, 0)):
         names = [f"{w}{joint}{words[(i + step) % len(words)]}" for i, w in enumerate(words) for step, joint in ((7, "-"), (13, "-"), (5, ""))]
-        rows += _urls([*words, *names], blocked)
-    syllables = ("th", "on", "er", "an", "re", "in", "es", "ou", "ti", "ha", "ble", "ing")
-    return spark.createDataFrame(rows + _urls([f"{a}{b}{c}" for a in syllables for b in syllables[::2] for c in syllables[1::3]], 0), "url string, blocked int")
+        rows += _urls([*words, *names] * PATHS_A_NAME, blocked)
+    rng = random.Random(0)
+    made = lambda: "".join(rng.choice(ONSETS) + rng.choice(VOWELS) + rng.choice(CODAS) for _ in range(rng.randint(2, 4)))
+    return spark.createDataFrame(rows + _urls([made() for _ in range(ORDINARY_NAMES)], 0), "url string, blocked int")
 
 
 def _urls(names: list[str], blocked: int) -> list[tuple[str, int]]:
