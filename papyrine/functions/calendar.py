@@ -3,21 +3,16 @@ and unreadable text must survive."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions.binding import let
+
 
 _BLANKS = " \t\n\r\f\x0b"
 _DIGITS = "0123456789"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _two(text: Column) -> Column:
     return F.lpad(text, 2, "0")
 
@@ -42,7 +37,7 @@ def printed_date(text: Column) -> Column:
         month = (F.size(p) == 2) & _number(p[0], 1, 2) & _number(p[1], 4)
         return F.when(whole, F.concat_ws("-", p[2], _two(p[1]), _two(p[0]))).when(month, F.concat_ws("-", p[1], _two(p[0])))
 
-    return F.coalesce(_let(F.split(F.translate(bare, "/-", ".."), "[.]"), read), bare)
+    return F.coalesce(let(F.split(F.translate(bare, "/-", ".."), "[.]"), read), bare)
 
 
 def _last_day(year: Column, month: Column) -> Column:
@@ -62,7 +57,7 @@ def cheque_date(text: Column) -> Column:
         return F.when(numbers & month.between(1, 12) & day.between(1, last), F.concat_ws("-", F.when(F.length(p[2]) == 2, F.concat(F.lit("20"), p[2])).otherwise(p[2]), _two(p[1]), _two(p[0])))
 
     parts = F.split(bare, r"\s*[./,-]\s*|\s+")  # one mark with blanks around it, or blanks alone
-    return F.when(_shape(bare) == "0000-00-00", bare).otherwise(F.coalesce(_let(parts, read), bare))
+    return F.when(_shape(bare) == "0000-00-00", bare).otherwise(F.coalesce(let(parts, read), bare))
 
 
 def _possible(year: Column, month: Column, day: Column) -> Column:
@@ -74,19 +69,19 @@ def _possible(year: Column, month: Column, day: Column) -> Column:
 
 def iso_from_yyyymmdd(text: Column) -> Column:
     bare = F.btrim(text, F.lit(_BLANKS))
-    return F.when(_shape(bare) == "00000000", _let(bare, lambda x: _possible(F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))))
+    return F.when(_shape(bare) == "00000000", let(bare, lambda x: _possible(F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))))
 
 
 def iso_from_yymmdd(text: Column) -> Column:
     bare = F.btrim(text, F.lit(_BLANKS))
-    return F.when(_shape(bare) == "000000", _let(bare, lambda x: _possible(F.concat(F.lit("20"), F.substring(x, 1, 2)), F.substring(x, 3, 2), F.substring(x, 5, 2))))
+    return F.when(_shape(bare) == "000000", let(bare, lambda x: _possible(F.concat(F.lit("20"), F.substring(x, 1, 2)), F.substring(x, 3, 2), F.substring(x, 5, 2))))
 
 
 def iso_from_dmy(text: Column) -> Column:
     def read(p: Column) -> Column:
         return F.when((F.size(p) == 3) & _number(p[0], 1, 2) & _number(p[1], 1, 2) & _number(p[2], 4), _possible(p[2], p[1], p[0]))
 
-    return _let(F.split(F.btrim(text, F.lit(_BLANKS)), "/"), read)
+    return let(F.split(F.btrim(text, F.lit(_BLANKS)), "/"), read)
 
 
 def iso_from_sheet_serial(serial: Column) -> Column:
