@@ -246,6 +246,13 @@ def checked_keys(payloads: DataFrame, tables: Mapping[str, DataFrame]) -> DataFr
     return sets.select("document_id", F.filter(order, lambda k: F.array_contains("f", k)).alias("checked"))
 
 
+def in_order(matches: DataFrame) -> DataFrame:
+    """``matches`` with ``place`` in their document: alerts before infos, each by lookup, source and row. A
+    document has at most ``MATCH_LIMIT`` of them a lookup and source."""
+    order = Window.partitionBy("document_id").orderBy(F.col("level") != "alert", "pos", "source_pos", "row_pos")
+    return matches.withColumn("place", F.row_number().over(order))
+
+
 def summary(matches: DataFrame) -> DataFrame:
     """(document_id, level, source, by, n, first): counts in the order of first appearance."""
     place = F.col("pos") * 1000 + F.col("source_pos") * 100 + F.col("row_pos")

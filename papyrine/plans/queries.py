@@ -334,6 +334,22 @@ def registry_screening(spark, sf_dir):
     return found.select("document_id", "field", "by", "source", "level", "record_key")
 
 
+_KEY_ORDER = "[" + ", ".join(repr(k) for k in registries.LOOKUP_KEYS) + "]"
+_SOURCE_ORDER = "[" + ", ".join(repr(s) for s in registries.CARRIED) + "]"
+
+
+@query(
+    f"""WITH {_MATCHES} SELECT document_id, field, source, level, record_key, CAST(row_number() OVER (PARTITION BY document_id
+  ORDER BY level <> 'alert', list_position({_KEY_ORDER}, field), list_position({_SOURCE_ORDER}, source), TRY_CAST(record_key AS BIGINT)) AS INT) AS place FROM m""",
+    *_REGISTRIES,
+)
+def registry_match_order(spark, sf_dir):
+    """Each document's matches, alerts first."""
+    tables = registry_tables(spark, sf_dir)
+    found = registries.screen(screening_payloads(spark, sf_dir), tables, F.lit(TODAY), name_indexes(tables, "nbctf_individuals"))
+    return registries.in_order(found).select("document_id", "field", "source", "level", "record_key", "place")
+
+
 @query(f'WITH {_MATCHES} SELECT document_id, level, source, "by", count(*) AS n FROM m GROUP BY ALL', *_REGISTRIES)
 def registry_summary(spark, sf_dir):
     found = registries.screen(screening_payloads(spark, sf_dir), registry_tables(spark, sf_dir), F.lit(TODAY))
