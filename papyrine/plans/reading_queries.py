@@ -12,6 +12,7 @@ from papyrine.functions import geometry, mrz, names, tilt
 from papyrine.operators import anchors, requests, runs, sheets, triage
 from papyrine.plans.adapters import view
 from papyrine.plans.queries import query
+from papyrine.sources import registry_files
 from papyrine.sources.generations import History, Migration
 from papyrine.sources.run_corpus import RunCorpus
 from papyrine.sources.snapshots import SnapshotStore
@@ -272,3 +273,36 @@ def snapshots_refreshed(spark, sf_dir):
         row = store.read(source).agg(F.lit(source).alias("source"), F.lit(told["status"]).alias("status"), F.lit(told["generation"]).cast("long").alias("generation"), F.count("*").alias("row_count"), F.sum(key).alias("sum_ids"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(
+    """SELECT bank, branch, account, start_date, end_date, '2024-01-31' AS date FROM boi_accounts WHERE bank IS NOT NULL""",
+    "boi_accounts",
+)
+def registry_accounts_loaded(spark, sf_dir):
+    """Restricted accounts as fixed-width files, one a bank, each with its counted header, read back."""
+    rows = view(spark, sf_dir, "boi_accounts").filter("bank is not null")
+    day = lambda c: F.coalesce(F.regexp_replace(c, "-", ""), F.lit("00000000"))
+    padded = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    line = F.concat(F.lit("01"), padded("bank", 2), padded("branch", 3), padded("account", 11), day("start_date"), day("end_date"))
+    heads = rows.groupBy("bank").agg(F.concat(F.lit("00,LIST,1,240131,x,"), (F.count("*") + 1).cast("string")).alias("value")).select("bank", F.lit(0).alias("n"), "value")
+    path = fresh_path(spark, "registry-files")
+    both = heads.unionByName(rows.select("bank", F.lit(1).alias("n"), line.alias("value")))
+    both.repartition("bank").sortWithinPartitions("bank", "n").select(F.col("bank").alias("of"), "value").write.partitionBy("of").text(path)
+    found, date = registry_files.accounts(registry_files.text_lines(spark, path))
+    return found.withColumn("date", F.lit(date))
+
+
+@query("SELECT CAST(number AS BIGINT) AS number, name_en, status, city || ' \"x\"' AS city FROM companies", "companies")
+def registry_companies_loaded(spark, sf_dir):
+    """Companies as pages of JSON answers, every seventh told again on a later page with another name; the first record counts."""
+    rows = view(spark, sf_dir, "companies")
+    record = lambda name: F.struct(F.col("number").cast("string").alias("no"), name.alias("english name"), F.col("status").alias("state"), F.concat(F.col("city"), F.lit(" ~x~ ")).alias("town"))
+    told = rows.select((F.col("number") % 10).cast("int").alias("page"), record(F.col("name_en")).alias("r"))
+    again = rows.filter(F.col("number") % 7 == 0).select(F.lit(10).alias("page"), record(F.lit("later")).alias("r"))
+    every = told.unionByName(again)
+    pages = every.groupBy("page").agg(F.collect_list("r").alias("records")).join(F.broadcast(every.agg(F.count("*").alias("total"))))  # one row
+    path = fresh_path(spark, "company-pages")
+    pages.select("page", F.lit(True).alias("success"), F.struct("total", "records").alias("result")).write.json(path)
+    read = spark.read.schema("page int, success boolean, result struct<total: long, records: array<struct<no: string, `english name`: string, state: string, town: string>>>").json(path)
+    return registry_files.companies(read, {"name_en": "english name", "status": "state", "city": "town"}, "no")
