@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from papyrine.functions import geometry, mrz, names, tilt
-from papyrine.operators import anchors, requests, runs, sheets, triage
+from papyrine.functions import calendar, geometry, mrz, names, tilt
+from papyrine.operators import anchors, merge, registries, requests, runs, sheet_records, sheets, triage
 from papyrine.plans.adapters import view
 from papyrine.plans.queries import query
 from papyrine.sources import registry_files
@@ -306,3 +306,81 @@ def registry_companies_loaded(spark, sf_dir):
     pages.select("page", F.lit(True).alias("success"), F.struct("total", "records").alias("result")).write.json(path)
     read = spark.read.schema("page int, success boolean, result struct<total: long, records: array<struct<no: string, `english name`: string, state: string, town: string>>>").json(path)
     return registry_files.companies(read, {"name_en": "english name", "status": "state", "city": "town"}, "no")
+
+
+_CAPPED = "CASE WHEN right({0}, 1) IN ('כ', 'מ', 'נ', 'פ', 'צ') THEN 'medium' ELSE 'high' END"
+_DOUBTFUL = "CASE WHEN right(a, 1) IN ('כ', 'מ', 'נ', 'פ', 'צ') OR right(b, 1) IN ('כ', 'מ', 'נ', 'פ', 'צ') THEN 'medium' ELSE 'high' END"
+
+
+@query(
+    f"""WITH t AS ({TURNS_SQL}), r AS (
+  SELECT k, 1 AS o, 'sefach' AS section, 'id_number' AS name, id AS value, 'high' AS confidence FROM t UNION ALL SELECT k, 2, 'sefach', 'last_name_he', a, {_CAPPED.format("a")} FROM t
+  UNION ALL SELECT k, 3, 'sefach', 'first_name_he', b, {_CAPPED.format("b")} FROM t
+  UNION ALL SELECT k, 4, 'sefach', 'maiden_name_he', a, 'low' FROM t WHERE k % 2 = 0
+  UNION ALL SELECT k, 5, 'sefach', 'marital_status', CASE WHEN k % 3 = 0 THEN 'נשוי' ELSE 'גרושה' END, CASE WHEN k % 3 = 0 THEN 'medium' ELSE 'low' END FROM t WHERE k % 2 = 0
+  UNION ALL SELECT k, 6, 'sefach', 'date_of_birth', '1990-0' || CAST(1 + k % 9 AS STRING) || '-03', 'high' FROM t
+  UNION ALL SELECT k, 7, 'sefach', 'address.street', a, 'high' FROM t UNION ALL SELECT k, 8, 'sefach', 'address.house_number', '7', 'high' FROM t UNION ALL SELECT k, 9, 'sefach', 'address.city', b, 'high' FROM t
+  UNION ALL SELECT k, 10, 'sefach', 'spouse.last_name_he', b, 'low' FROM t WHERE k % 2 = 0 UNION ALL SELECT k, 11, 'sefach', 'spouse.first_name_he', a, 'low' FROM t WHERE k % 2 = 0
+  UNION ALL SELECT k, 12, 'sefach', 'spouse.id_number', '000000018', 'low' FROM t WHERE k % 2 = 0
+  UNION ALL SELECT k, 13, 'children', 'children[0].last_name_he', b, {_DOUBTFUL} FROM t UNION ALL SELECT k, 14, 'children', 'children[0].first_name_he', a, {_DOUBTFUL} FROM t
+  UNION ALL SELECT k, 15, 'children', 'children[0].id_number', '123', {_DOUBTFUL} FROM t UNION ALL SELECT k, 16, 'children', 'children[0].date_of_birth', '2003-02-01', {_DOUBTFUL} FROM t
+  UNION ALL SELECT k, 17, 'children', 'children[0].sex', 'M', {_DOUBTFUL} FROM t)
+SELECT k AS page_id, section, CAST(row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS INT) AS pos, name, value, confidence, count(*) OVER (PARTITION BY k, section) AS n FROM r"""
+)
+def sheets_recorded(spark, sf_dir):
+    """Blocks of appendix sheets as records, cleaned and listed: a status among former names, a street with
+    its number, a child with the holder's number and a blank one, spouses on every second sheet."""
+    k, a, b, number = F.col("k"), F.col("a"), F.col("b"), F.col("id")
+    none = F.lit(None).cast("string")
+    text = lambda *pairs: F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in pairs])
+    birth = F.concat(F.lit("3."), (1 + k % 9).cast("string"), F.lit(".1990"))
+    holder = text(
+        ("last_name_he", F.concat(F.lit(" "), a)), ("first_name_he", F.concat(b, F.lit("\u05b8 "))), ("id_number", F.concat(F.substring(number, 1, 5), F.lit("-"), F.substring(number, 6, 4))), ("date_of_birth", birth), ("place_of_birth", none), ("date_of_issue", none),
+        ("street", F.concat(a, F.lit(" 7"))), ("house_number", "7"), ("entrance", ""), ("apartment", none), ("city", b), ("postal_code", none), ("confidence", "high"),
+    )
+    status = text(
+        ("previous_last_name_he", none), ("previous_first_name_he", F.when(k % 3 == 0, "נשוי")), ("maiden_name_he", a), ("marital_status", F.when(k % 3 > 0, "גרושה")), ("nationality", none), ("father_name_he", none), ("mother_name_he", none),
+        ("spouse_last_name_he", b), ("spouse_first_name_he", a), ("spouse_id_number", "0000-00018"), ("confidence", "low"),
+    )
+    child = lambda last, first, n, born, sex: F.struct(*[x.alias(c) for x, c in zip((last, first, n, born, sex, F.lit("high")), ("last_name_he", "first_name_he", "id_number", "date_of_birth", "sex", "confidence"))])
+    children = F.array(child(a, b, number, none, none), child(b, a, F.lit("12-3"), F.lit("1.2.2003"), F.lit("זכר")), child(F.lit(""), none, F.lit("-"), none, F.lit("M")))
+    blocks = turns(spark, sf_dir).select(k.alias("page_id"), holder.alias("holder"), F.when(k % 2 == 0, status).alias("status"), children.alias("children"))
+    cleaned = sheet_records.cleaned(sheet_records.assembled(blocks))
+    return sheet_records.rows(cleaned).join(sheet_records.section_counts(cleaned), ["page_id", "section"]).select("page_id", "section", "pos", "name", "value", "confidence", "n")
+
+
+@query(
+    f"""WITH t AS ({TURNS_SQL})
+SELECT k AS page_id, 'amount' AS name, substr(id, 1, 4) || '.00' AS value, 'high' AS confidence FROM t WHERE k % 3 < 2
+UNION ALL SELECT k, 'payee', CASE WHEN k % 3 = 1 THEN a ELSE b END, CASE WHEN k % 3 = 1 THEN 'high' ELSE 'low' END FROM t WHERE k % 3 > 0 OR k % 2 = 0
+UNION ALL SELECT k, 'payee', a, 'high' FROM t WHERE k % 3 = 0 AND k % 2 = 1"""
+)
+def cheques_merged(spark, sf_dir):
+    """Sides of cheques: a front with an endorsed back, a front whose back holds nothing, a back alone; later fronts are left out."""
+    k, a, b, number = F.col("k"), F.col("a"), F.col("b"), F.col("id")
+    field = lambda v, c: F.struct(v.alias("value"), F.lit(c).alias("confidence"))
+    front = F.create_map(F.lit("amount"), field(F.concat(F.substring(number, 1, 4), F.lit(".00")), "high"), F.lit("payee"), field(a, "high"), F.lit("date"), field(F.lit(None).cast("string"), "high"))
+    back = F.create_map(F.lit("payee"), field(F.when((k % 3 == 1) | ((k % 3 == 0) & (k % 2 == 1)), "").otherwise(b), "low"))
+    later = F.create_map(F.lit("amount"), field(F.lit("1.00"), "high"))
+    side = lambda kind, fields: F.struct(F.lit(kind).alias("document_type"), fields.alias("fields"))
+    sides = F.when(k % 3 == 2, F.array(side("cheque_back", back))).otherwise(F.array(side("cheque", front), side("cheque_back", back), side("cheque", later), side("other", later)))
+    records = turns(spark, sf_dir).select(k.alias("page_id"), F.posexplode(sides).alias("pos", "s")).select("page_id", "pos", "s.*")
+    return merge.flattened(merge.merged_cheque(records))
+
+
+@query(
+    """SELECT event_id, epoch_us(CASE WHEN ts < date_trunc('day', ts) + INTERVAL 1 HOUR THEN date_trunc('day', ts) + INTERVAL 1 HOUR ELSE date_trunc('day', ts) + INTERVAL 25 HOUR END) AS next_us,
+  CASE WHEN event_id % 4 = 0 THEN user_id END AS alerts, CASE WHEN event_id % 4 = 1 THEN 'REGISTRIES_UNAVAILABLE' END AS error, event_id % 4 < 2 AS parsed,
+  CASE WHEN event_id % 3 = 0 THEN CAST(CAST(ts AS DATE) AS STRING) END AS date, CASE event_id % 3 WHEN 1 THEN 'בוטל ' || CAST(user_id AS STRING) END AS note, event_id % 3 = 1 AS cancelled FROM events"""
+)
+def refreshes_planned(spark, sf_dir):
+    """The next run after each event, stored check summaries, and designation cells."""
+    event, user = F.col("event_id"), F.col("user_id")
+    item = F.concat(F.lit('{"alerts": [{"source": "companies", "by": "id", "count": '), user.cast("string"), F.lit('}], "infos": [], "checked": ["id_number"]}'))
+    summary = F.when(event % 4 == 0, item).when(event % 4 == 1, '{"error": "REGISTRIES_UNAVAILABLE"}').when(event % 4 == 2, '{"error": "OTHER"}').otherwise("{not json")
+    cell = F.when(event % 3 == 0, F.date_format("ts", "d/M/yyyy")).when(event % 3 == 1, F.concat(F.lit(" בוטל "), user.cast("string"))).otherwise("--/--/----")
+    found = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"s": registries.parsed_summary(summary), "d": registry_files.designation(cell), "next": calendar.next_local_run(F.col("ts").cast("timestamp"), "Asia/Jerusalem", 3, 0)})
+    return found.select(
+        "event_id", F.unix_micros("next").alias("next_us"), F.col("s.alerts")[0]["count"].cast("long").alias("alerts"), F.col("s.error").alias("error"), F.col("s").isNotNull().alias("parsed"),
+        F.col("d.date").alias("date"), F.col("d.note").alias("note"), F.col("d.cancelled").alias("cancelled"),
+    )
