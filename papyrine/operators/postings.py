@@ -1,9 +1,9 @@
 """A positional posting index over the names of a registry.
 
 Three tables, written once with a snapshot: the records in their order (``_place`` tells it), the
-postings (token, record, position) and the vocabulary (token, records that hold it). The last two
-are ranged and sorted by token, so a whole token is a point and the beginning of one a range that
-Parquet's statistics prune files by; a token that very many records hold is spread over many files.
+postings (token, record, position) and the vocabulary (token, records that hold it), both sorted by
+token, so a whole token is a point and the beginning of one a range that Parquet's statistics prune
+by. Postings are ranged too; a token that very many records hold is spread over many files.
 
 A query is a list of words that must all be held. A word of several tokens is a phrase: its tokens
 stand side by side in one name of the record; names of other languages or kinds are apart. Unless whole words are asked for, the last token of each word may only begin one.
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.functions.names import tokens_of
+from papyrine.functions.names import query_tokens
 from papyrine.operators.numbering import PLACE, placed
 from papyrine.workspace import fresh_path
 
@@ -43,12 +43,10 @@ class Term:
         return (F.col("token") >= self.token) & (F.col("token") < self.token + LAST_CHARACTER)
 
 
-def terms_of(spark: SparkSession, words: list[str], whole: bool) -> list[list[Term]]:
+def terms_of(words: list[str], whole: bool) -> list[list[Term]]:
     """The terms of each normalised word. A word without a letter or digit has none."""
-    if not words:
-        return []
-    split = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "at int, word string").select("at", tokens_of(F.col("word")).alias("t"))
-    return [[Term(r.at, i, t, i == len(r.t) - 1 and not whole) for i, t in enumerate(r.t)] for r in sorted(split.collect())]
+    split = [query_tokens(w) for w in words]
+    return [[Term(at, i, t, i == len(tokens) - 1 and not whole) for i, t in enumerate(tokens)] for at, tokens in enumerate(split)]
 
 
 def _occurrences(tokens: Column, first: int) -> Column:
@@ -76,7 +74,7 @@ class NameIndex:
         every = records.select(F.col(PLACE).alias("record"), F.inline(F.concat(*names))).select("token", "record", "position")
         every.repartitionByRange("token", "record", "position").sortWithinPartitions("token", "record", "position").write.parquet(f"{path}/postings")
         counts = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("token").agg(F.count_distinct("record").alias("records"))
-        counts.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/vocabulary")
+        counts.sortWithinPartitions("token").write.parquet(f"{path}/vocabulary")
         return cls.read(spark, path)
 
     @classmethod
@@ -98,11 +96,11 @@ class NameIndex:
     def matches(self, words: list[str], whole: bool = False) -> DataFrame:
         """(record) of the records that hold every word; the rarest word is looked up first and the
         others meet what it has left. No words, or a word without a letter or digit, match nothing."""
-        phrases = terms_of(self.records.sparkSession, words, whole)
-        if not phrases or not all(phrases):
-            return self.postings.filter("false").select("record")
+        phrases = terms_of(words, whole)
         every = [t for phrase in phrases for t in phrase]
-        rare = dict(zip(every, self.frequencies(every)))
+        rare = dict(zip(every, self.frequencies(every))) if phrases and all(phrases) else {}
+        if not rare or not all(rare.values()):
+            return self.postings.filter("false").select("record")
         found = None
         for phrase in sorted(phrases, key=lambda p: min(rare[t] for t in p)):
             by_rarity = sorted(phrase, key=rare.__getitem__)
@@ -115,6 +113,6 @@ class NameIndex:
 
     def first_records(self, matches: DataFrame, limit: int) -> tuple[DataFrame, int]:
         """(the first ``limit`` matched records in the table's order, all matches' number). The places of
-        at most ``limit`` records pass the driver and prune the files of records."""
-        top = [r.record for r in matches.orderBy("record").limit(limit).collect()]
-        return self.records.filter(F.col(PLACE).isin(top)), matches.count()
+        at most ``limit`` + 1 records pass the driver and prune the files of records."""
+        top = [r.record for r in matches.orderBy("record").limit(limit + 1).collect()]
+        return self.records.filter(F.col(PLACE).isin(top[:limit])), matches.count() if len(top) > limit else len(top)

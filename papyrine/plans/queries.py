@@ -265,17 +265,13 @@ def registry_search_names(spark, sf_dir):
 
 def searched_names(spark, sf_dir, sources, name, whole=False):
     """(source, position, total, key) of a name search over posting indexes."""
-    tables = {s: names_only(spark, sf_dir, s) for s in sources}
-    found = registries.search(tables, registries.Query.parsed({"name": name}), whole=whole, indexes=name_indexes(tables, *sources))
+    tables = {s: view(spark, sf_dir, s) for s in sources}
+    indexes = {s: NameIndex.build(t, [names.name_tokens(F.col("name" if s == "boi_severe" else "name_en"))], registries.ORDER[s]) for s, t in tables.items()}
+    found = registries.search(tables, registries.Query.parsed({"name": name}), whole=whole, indexes=indexes)
     key = F.coalesce(*[F.get_json_object("record", f"$.{c}") for c in ("id_number", "number", "seq")]).cast("bigint")
     return found.select("source", "position", "total", key.alias("key"))
 
 
-def names_only(spark, sf_dir, source):
-    column = "name" if source == "boi_severe" else "name_en"
-    return view(spark, sf_dir, source).withColumn("tokens", names.name_tokens(F.col(column)))
-
-
 @query(
     """SELECT * FROM (
   SELECT 'nbctf_individuals' AS source, seq AS key, CAST(row_number() OVER (ORDER BY seq) AS INT) AS position, count(*) OVER () AS total FROM nbctf_individuals WHERE regexp_matches(name_en, '^Person MACHINERY ') AND contains(name_en, '#00000')
