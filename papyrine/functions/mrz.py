@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions.binding import let
+
 LEAST_LINE = 25
 TD1, TD3 = 30, 44
 
@@ -67,5 +69,5 @@ def zone_date(text: Column, expiry: bool = False) -> Column:
 
 def passport_type(lines: Column) -> Column:
     """``israeli_passport`` or ``foreign_passport`` by a TD3 zone's issuing state; else null."""
-    zone = parse(clean_lines(lines))
-    return F.when(zone["format"] == "TD3", F.when(zone["issuer"] == "ISR", "israeli_passport").otherwise("foreign_passport"))
+    kind = lambda zone: F.when(zone["format"] == "TD3", F.when(zone["issuer"] == "ISR", "israeli_passport").otherwise("foreign_passport"))
+    return let(clean_lines(lines), lambda clean: let(parse(clean), kind))
