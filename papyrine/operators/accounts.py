@@ -114,14 +114,42 @@ def registered(sign_ins: DataFrame) -> DataFrame:
     return first.join(F.broadcast(founder), "user_id", "left").withColumn("role", F.coalesce("role", F.lit("user")))  # one row
 
 
+def _met(requests: DataFrame, invitations: DataFrame) -> DataFrame:
+    """(email, user_id, at, invitation_id) of verified sign-ups with a user, each with the newest
+    pending invitation of its address that lives at its moment; one row a user, of all that match the
+    newest and of those the earliest. A fold over each address's invitations and sign-ups in order of
+    time keeps the invitations that no newer one outlives, so each row is taken up and laid off once,
+    however many there are of an address."""
+    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    user, number = requests.schema["user_id"].dataType, invitations.schema["id"].dataType
+    # no nulls: pandas would make numbers with nulls doubles
+    none = lambda kind: F.lit(0).cast(kind)
+    live = invitations.filter((F.col("status") == "pending") & F.col("id").isNotNull())
+    sent = live.select(email(F.col("email")).alias("email"), micros("created_at").alias("us"), F.lit(0).alias("place"), F.col("id").alias("invitation_id"), none(user).alias("user_id"), micros("expires_at").alias("until"))
+    asked = requests.filter(F.col("verified") & F.col("user_id").isNotNull())
+    asked = asked.select(email(F.col("email")).alias("email"), micros("at").alias("us"), F.lit(1).alias("place"), none(number).alias("invitation_id"), "user_id", micros("at").alias("until"))
+    moments = sent.unionByName(asked).filter("email is not null and us is not null and until is not null")
+
+    def moment(state: State, event: dict[str, Any]) -> tuple[State, list[dict[str, Any]]]:
+        held = state["held"]  # oldest first; each ends later than the newer ones after it
+        # what ended by now goes, and at a sending what the new one outlives
+        while held and held[-1][0] <= max(event["us"], event["until"]):
+            held.pop()
+        if not event["place"]:
+            held.append((event["until"], event["us"], event["invitation_id"]))
+            return state, []
+        return state, [{"user_id": event["user_id"], "us": event["us"], "sent_us": held[-1][1], "invitation_id": held[-1][2]}] if held else []
+
+    schema = f"email string, user_id {user.simpleString()}, us long, sent_us long, invitation_id {number.simpleString()}"
+    found = batch_fold(moments, "email", ["us", "place", "invitation_id"], lambda: {"held": []}, moment, schema)
+    newest = Window.partitionBy("user_id").orderBy(F.desc("sent_us"), F.desc("invitation_id"), "us")
+    at = F.timestamp_micros("us").cast(requests.schema["at"].dataType).alias("at")
+    return found.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select("email", "user_id", at, "invitation_id")
+
+
 def admitted(requests: DataFrame, invitations: DataFrame) -> DataFrame:
     """Sign-ups (user_id, email, verified, at) with the newest invitation that admits each."""
-    live = invitations.filter(F.col("status") == "pending").select(F.col("id").alias("invitation_id"), email(F.col("email")).alias("_email"), F.col("created_at").alias("_sent"), "expires_at")
-    sign_ups = requests.filter("verified")
-    match = (email(sign_ups["email"]) == F.col("_email")) & (F.col("expires_at") > F.col("at")) & (F.col("_sent") <= F.col("at"))
-    newest = Window.partitionBy("user_id").orderBy(F.desc("_sent"), F.desc("invitation_id"))
-    found = sign_ups.join(live, match).withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
-    return found.select("user_id", "invitation_id", "at")
+    return _met(requests, invitations).select("user_id", "invitation_id", "at")
 
 
 def current_invitations(events: DataFrame) -> DataFrame:
@@ -160,10 +188,8 @@ def admitted_accounts(sign_ups: DataFrame, invitations: DataFrame, users: DataFr
     is none, and takes the newest pending invitation of it, expired or not; others need a live one,
     which one sign-up uses. Known users and the rest get no row."""
     fresh = sign_ups.join(users.select("user_id"), "user_id", "left_anti")
-    invited = admitted(fresh, invitations)
     once = Window.partitionBy("invitation_id").orderBy("at", "user_id")
-    addresses = invitations.select(F.col("id").alias("invitation_id"), email(F.col("email")).alias("email"))
-    invited = invited.withColumn("_n", F.row_number().over(once)).filter("_n = 1").join(addresses, "invitation_id")
+    invited = _met(fresh, invitations).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
     guests = invited.select("user_id", F.lit("user").alias("role"), "email", "invitation_id", F.col("at").alias("created_at"))
     if admin_email is None:
         return guests

@@ -1,5 +1,8 @@
 """Sheet records, request decisions, accounts and log operators without an oracle."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from papyrine.operators import accounts, request_log, requests, sheet_records
@@ -86,3 +89,23 @@ def test_log_states_and_pages(spark):
     assert request_log.parse_filters({"status": "bad", "from": "2024-1-1", "verdict": ["v", "w"], "family": ""}) == {"verdict": "v"}
     log = spark.createDataFrame([("a", "cheque")], "id string, doc_type string")
     assert log.filter(request_log.matches({"family": "nothing"})).isEmpty() and not log.filter(request_log.matches({"family": "cheque"})).isEmpty()
+
+
+def test_admitted_without_pairs(spark):
+    """The newest live invitation of an address against a search over all of them; no join by address."""
+    rng = random.Random(11)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    sent = [(i, rng.choice([" A@x.test", "b@x.test", "c@x.test"]), rng.choice(["pending", "pending", "revoked"]), s := rng.randrange(400), s + rng.randrange(0, 120)) for i in range(500)]
+    asked = [(u, rng.choice(["a@x.test", "B@x.test", "d@x.test"]), rng.random() < 0.8, rng.randrange(500)) for u in range(400)]
+    asked += [(u, "a@x.test", True, rng.randrange(500)) for u in range(0, 400, 9)]
+    expected = {}
+    for user, address, verified, s in asked:
+        for i, to, status, created, until in sent:
+            if verified and status == "pending" and to.strip().lower() == address.lower() and created <= s < until:
+                expected[user] = max(expected.get(user, (-1, -1)), (created, i))
+    invitations = spark.createDataFrame([(i, a, t, at(c), at(u)) for i, a, t, c, u in sent], "id long, email string, status string, created_at timestamp, expires_at timestamp")
+    sign_ups = spark.createDataFrame([(u, a, v, at(s)) for u, a, v, s in asked], "user_id long, email string, verified boolean, at timestamp")
+    found = accounts.admitted(sign_ups, invitations)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r.user_id, r.invitation_id) for r in found.collect()]
+    assert len(got) == len(expected) > 100 and dict(got) == {u: i for u, (_, i) in expected.items()}
