@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
+import __spark_entry__ as contract
 from papyrine.operators import literals
 
 
@@ -43,3 +45,24 @@ def test_ten_thousand_values(spark):
 def test_empty_tables(spark):
     texts, values = spark.createDataFrame([(1, "abc")], "doc_id long, text string"), spark.createDataFrame([("b",)], "value string")
     assert literals.find_literals(texts.limit(0), values).count() == 0 and literals.find_literals(texts, values.limit(0)).count() == 0
+
+
+def test_query_on_odd_characters(spark, tmp_path):
+    """Values that end in line ends or unusual blanks, capitals without a lower case of one character or
+    with two, against DuckDB."""
+    tables = {
+        "documents": ("doc_id long, text string", [(1, "x ΑΣ y"), (2, "ας ασ"), (3, "İstanbul i̇stanbul"), (4, "one two\n"), (5, "one two"), (6, "\u00a0ab\u3000cd"), (7, "\tab"), (8, "istanbul"), (9, None)]),
+        "benchmark": ("item_id long, text string", [(7, "ΑΣ "), (8, "_İstanbul"), (4, "....wo\nxyz"), (14, "\u3000ab........"), (77, None), (21, "\tab" + " " * 30)]),
+        "conversations": ("conv_id long, turn long, text string", [(5, 0, "..two\n three"), (10, 0, "..\u00a0ab"), (10, 1, "..x"), (15, 0, "..stanbul")]),
+    }
+    con = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = {tuple(r) for r in contract.queries()["literal_hits"](spark, str(tmp_path)).collect()}
+    assert found == set(con.execute(contract.oracle_sql()["literal_hits"]).fetchall()) and len(found) == 9
+
+
+def test_found_keeps_its_place(spark):
+    texts = spark.createDataFrame([(1, "İİ Abc")], "doc_id long, text string")
+    assert [r.found for r in literals.find_literals(texts, spark.createDataFrame([("abc",)], "value string")).collect()] == ["Abc"]
