@@ -80,26 +80,31 @@ def _name_like(line: Column) -> Column:
     return F.when((bare != "") & bare.rlike(NAME_LIKE), bare)
 
 
+def _person(line: Column) -> Column:
+    """A name, which no label of the old card is."""
+    return F.when(~hebrew_core(line).isin(OLD_CARD), _name_like(line))
+
+
 def names(lines: Column) -> Column:
-    """Struct (last_name_he, first_name_he): the lines above and below the best first-name label."""
+    """Struct (last_name_he, first_name_he): the lines above and below the best first-name label. A
+    name may be as similar to that label as a garbled one; the labels around it are no names."""
     zipped = F.arrays_zip(lines.alias("line"), similarity(F.transform(lines, hebrew_core), FIRST_NAME).alias("ratio"))
     scores = F.transform(zipped, lambda x: F.when((x["ratio"] >= FIRST_NAME_FUZZY) & (F.length(hebrew_core(x["line"])) >= 4), x["ratio"]).otherwise(0.0))
     best = F.array_max(scores)
     at = F.when(best > 0, F.array_position(scores, best).cast("int") - 1)
-    near = lambda i: _name_like(F.get(lines, i))
+    near = lambda i: _person(F.get(lines, i))
     return F.struct(near(at - 1).alias("last_name_he"), near(at + 1).alias("first_name_he"))
 
 
 def parents(lines: Column) -> Column:
     """Struct (father_name_he, mother_name_he, last_name_he, first_name_he) of an old card: values
     follow their group of labels in order; two values for three labels tell nothing."""
-    person = lambda line: F.when(~hebrew_core(line).isin(OLD_CARD), _name_like(line))
     core_at = lambda core: F.array_position(F.transform(lines, hebrew_core), F.lit(core)).cast("int")
     after = lambda at: F.when(at > 0, F.slice(lines, at + 1, F.size(lines)))
     zero = F.struct(F.array().cast("array<string>").alias("run"), F.lit(False).alias("done"))
 
     def step(state: Column, line: Column) -> Column:
-        name = person(line)
+        name = _person(line)
         ends = name.isNull() & ((F.size(state["run"]) > 0) | (hebrew_core(line) != ""))
         run = F.when(~state["done"] & name.isNotNull(), F.concat(state["run"], F.array(name))).otherwise(state["run"])
         return F.struct(run.alias("run"), (state["done"] | ends).alias("done"))
@@ -107,7 +112,7 @@ def parents(lines: Column) -> Column:
     run = F.aggregate(after(core_at("שםהאב")), zero, step)["run"]
     nth = lambda n: F.when(F.size(run) >= 3, F.get(run, F.lit(n)))
     father = F.when(F.size(run) == 1, F.get(run, F.lit(0))).otherwise(nth(2))
-    mothers = F.filter(F.transform(after(core_at("שםהאם")), person), lambda x: x.isNotNull())
+    mothers = F.filter(F.transform(after(core_at("שםהאם")), _person), lambda x: x.isNotNull())
     mother = F.coalesce(F.try_element_at(mothers, F.lit(1)), F.get(run, F.lit(3)))
     return F.struct(father.alias("father_name_he"), mother.alias("mother_name_he"), nth(0).alias("last_name_he"), nth(1).alias("first_name_he"))
 

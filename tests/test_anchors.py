@@ -47,3 +47,9 @@ def test_cheque_cleaning(spark):
     found = clean.cheque(spark.createDataFrame(rows, FIELDS), {"11": "Discount"}).first().fields
     assert {k: v.value for k, v in found.items()} == {"branch_number": "148", "bank_code": "011", "bank_name": "Discount", "drawer_id_number": None, "amount": "4500.00", "payee": None, "date": "2025-04-06", "sex": None}
     assert found["bank_name"].confidence == "low"
+
+
+def test_name_like_the_first_name_label(spark):
+    """A mother's name that resembles the label of the first name; the labels beside it are no names."""
+    cards = [["שם האב", "הדלגאר", "שם האם", "סשרט", "-"], ["שם האב", "סשרט", "שם האם", "טנקהאר"], ["כהן", "סשרט", "דנה"]]
+    assert [tuple(r) for r in apply(spark, anchors.names, cards)] == [(None, None), (None, None), ("כהן", "דנה")]
