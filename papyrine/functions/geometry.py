@@ -101,7 +101,8 @@ def crop_pixels(box: Column, width: Column, height: Column, margin: float = 0.03
     scale = F.when(F.array_max(box) <= 1000, 1000.0).otherwise(F.greatest(width, height).cast("double"))
     x = lambda i: box[i] / scale * width
     y = lambda i: box[i] / scale * height
-    mx, my = (x(2) - x(0)) * margin, (y(3) - y(1)) * margin
+    # of the box's own whole numbers: a difference of two rounded edges may miss a whole pixel
+    mx, my = (box[2] - box[0]) / scale * width * margin, (box[3] - box[1]) / scale * height * margin
     low = lambda v: F.greatest(v.cast("int"), F.lit(0))
     return F.array(low(x(0) - mx), low(y(1) - my), F.least((x(2) + mx).cast("int"), width), F.least((y(3) + my).cast("int"), height))
 

@@ -215,3 +215,9 @@ def test_merge(spark):
     cheques = [rec(1, 0, "cheque", amount=("5", "high"), payee=("p", "high")), rec(1, 1, "cheque_back", payee=("q", "low"), amount=("", "low")), rec(1, 2, "cheque", amount=("6", "high"))]
     two = merge.merged_cheque(spark.createDataFrame(cheques, schema)).first()
     assert two.extra_sides == 1 and two.fields["payee"]["value"] == "q" and two.fields["amount"]["value"] == "5"
+
+
+def test_crop_margin_of_whole_pixels(spark):
+    """A margin of 0.03 of 80 thousandths of 2,500 pixels is 6 pixels, not just under."""
+    row = spark.createDataFrame([([420, 328, 460, 408], 1800, 2500)], "b array<int>, w int, h int")
+    assert row.select(geometry.crop_pixels(F.col("b"), F.col("w"), F.col("h"))).first()[0] == [753, 814, 830, 1026]
