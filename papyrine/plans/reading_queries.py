@@ -102,7 +102,7 @@ def zones_refitted(spark, sf_dir):
     short = F.concat(F.regexp_replace(F.lower(upper), "<+$", "<"), F.lit("  "))
     printed = F.concat(F.array(F.lit("PASSPORT"), short), F.array(F.concat(F.substring(data, 1, 20), F.lit(" "), F.substring(data, 21, 24))), F.when(k % 3 > 0, F.array(F.lit("signature of bearer"))).otherwise(F.array(F.rpad(F.lit("X"), 30, "1"))))
     lines = mrz.clean_lines(printed)
-    zones = view(spark, sf_dir, "zones").withColumn("lines", lines)
+    zones = view(spark, sf_dir, "zones", spread=True).withColumn("lines", lines)
     fitted = mrz.refit(F.col("lines")[0], F.lit(mrz.TD3))
     # each a column of its own, so that it is worked out once
     read = zones.withColumns({"fitted": fitted, "zone": mrz.parse(F.col("lines")), "kind": mrz.passport_type(F.slice(printed, 1, 3))})

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from papyrine.functions import amounts, calendar, geometry, identifiers, mrz, names
 from papyrine.operators import merge, triage, validation
 
@@ -221,3 +222,14 @@ def test_crop_margin_of_whole_pixels(spark):
     """A margin of 0.03 of 80 thousandths of 2,500 pixels is 6 pixels, not just under."""
     row = spark.createDataFrame([([420, 328, 460, 408], 1800, 2500)], "b array<int>, w int, h int")
     assert row.select(geometry.crop_pixels(F.col("b"), F.col("w"), F.col("h"))).first()[0] == [753, 814, 830, 1026]
+
+
+@pytest.mark.parametrize("told", [mrz.parse, mrz.passport_type])
+def test_zone_lines_refitted_once(spark, told):
+    """However many fields are cut from a line, it is refitted in one place of the expression."""
+    assert told(F.col("x"))._jc.toString().count("rpad") == 1
+
+
+def test_zone_queries_use_all_cores(spark, sf_dir):
+    for name in ("identity_verdicts", "zones_refitted"):
+        assert contract.queries()[name](spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
