@@ -5,6 +5,7 @@ import random
 import time
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,35 @@ def test_streamed_reservations_equal_the_batch_fold(spark, tmp_path):
     batch = limits.trial_reservations(spark.createDataFrame(events, schema), 2, 3_600_000)
     found = {r.document: r.allowed for r in rows_of(spark, tmp_path, keyed.TrialReservations.OUT)}
     assert found == {r.document: r.allowed for r in batch.collect()}
+
+
+def test_store_calls_do_not_grow_with_events():
+    """A request's events in one trigger ask the state store as often whether they are 5 or 500, and
+    nothing after its end is made into a row."""
+
+    class Store:
+        calls = 0
+
+        def __getattr__(self, name):
+            def call(*_):
+                Store.calls += 1
+                return False if name in ("exists", "containsKey") else None if name == "get" else iter(())
+
+            return call
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *_: Store() if name.startswith("get") else iter(())
+
+    def calls(n, ends):
+        kinds = ["classified"] * n + (["error"] if ends else []) + ["classified"] * n * ends
+        events = pd.DataFrame({"request_id": "r", "seq": range(1, len(kinds) + 1), "type": kinds, "t": 0, "i": None, "text": None, "document_type": None, "items": None, "error": None})
+        stages_of = keyed.RequestStages(1000)
+        stages_of.init(Handle())
+        Store.calls = 0
+        clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+        told = list(stages_of.handleInputRows(("r",), iter([events]), clock))
+        assert [f.classified.tolist() for f in told] == ([[n]] if ends else [])
+        return Store.calls
+
+    assert calls(5, True) == calls(500, True) and calls(5, False) == calls(500, False)
