@@ -66,3 +66,50 @@ def test_query_on_odd_characters(spark, tmp_path):
 def test_found_keeps_its_place(spark):
     texts = spark.createDataFrame([(1, "İİ Abc")], "doc_id long, text string")
     assert [r.found for r in literals.find_literals(texts, spark.createDataFrame([("abc",)], "value string")).collect()] == ["Abc"]
+
+
+@pytest.mark.parametrize("limit, most", [("LONGEST", 64), ("LONGEST", 3), ("MOST_BYTES", 100), ("MOST_CELLS", 2_000), ("MOST_CELLS", 1)])
+def test_held_literals_equal_brute_force(spark, monkeypatch, limit, most):
+    """Values all in the automaton, some of them or none, and keys that repeat."""
+    monkeypatch.setattr(literals, limit, most)
+    rng = random.Random(9)
+    alphabet = "aAbB éÉ漢Σİ\0\n"
+    texts = [(n, "".join(rng.choices(alphabet, k=rng.randint(0, 300)))) for n in range(60)] + [(60, None), (61, ""), (None, "aaa"), (62, "aAaAaA" * 50), (62, "later row of 62, aaa"), (62, "aaa")]
+    values = ["a", "aa", "AAA", " b ", "", None, "aba", "é漢", "row of", "aaaaaaaaa", "\0", "a\0", "aa" * 40] + ["".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(300)]
+    held = literals.held_literals(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame([(v,) for v in values], "value string"))
+    got = [tuple(r) for r in held.collect()]
+    expected = {(k, n) for k, t in texts for n in {literals.lowered(v.strip()) for v in values if v} - {""} if k is not None and n in literals.lowered(t or "")}
+    assert held.columns == ["doc_id", "needle"] and len(got) == len(set(got)) and set(got) == expected
+
+
+@pytest.mark.parametrize("chunk, span", [(1 << 22, 1 << 10), (64, 16), (1, 1)])
+def test_automaton_at_its_seams(monkeypatch, chunk, span):
+    monkeypatch.setattr(literals, "CHUNK", chunk)
+    monkeypatch.setattr(literals, "SPAN", span)
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcé", k=rng.choice([0, 1, 5, 200]))) for _ in range(40)]
+    values = sorted({"".join(rng.choices("abcéd", k=rng.randint(1, 12))).encode() for _ in range(200)})
+    rows, places = literals._Automaton(values).held(texts)
+    got = list(zip(rows.tolist(), places.tolist()))
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, t in enumerate(texts) for j, v in enumerate(values) if v.decode() in t}
+
+
+def test_held_literals_of_empty_tables(spark):
+    texts, values = spark.createDataFrame([("x", "abc")], "name string, text string"), spark.createDataFrame([("b",)], "value string")
+    held = [literals.held_literals(t, v, key="name") for t, v in ((texts, values), (texts.limit(0), values), (texts, values.limit(0)))]
+    assert [[tuple(r) for r in h.collect()] for h in held] == [[("x", "b")], [], []] and all(h.columns == ["name", "needle"] for h in held)
+
+
+def test_query_keeps_no_occurrences(spark, sf_dir, monkeypatch):
+    """What the query writes and shuffles is bounded by values and texts, however often values occur."""
+    tables, written = {}, literals.written
+
+    def counted(df, name, path=None):
+        out = written(df, name, path)
+        tables[name] = out.count()
+        return out
+
+    monkeypatch.setattr(literals, "written", counted)
+    hits = contract.queries()["literal_hits"](spark, sf_dir)
+    assert set(tables) == {"needles", "repeated-keys"} and 0 < tables["needles"] < 1_000 and tables["repeated-keys"] == 0
+    assert "HashAggregate" not in hits._jdf.queryExecution().executedPlan().toString()
